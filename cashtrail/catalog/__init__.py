@@ -1,4 +1,4 @@
 """Every query by its survey id, each with its SQL twin where SQL can express it."""
 
-from . import ledger  # noqa: F401
+from . import ledger, network  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

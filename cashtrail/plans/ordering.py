@@ -151,7 +151,6 @@ class Ordered:
         ``ts`` is an integer column that leads the order. The sum is the running sum minus the
         sum of the rows that are too old, so ties in ``ts`` follow row order.
         """
-        names = list(measures)
         if not self.chunked:
             old = Window.partitionBy(*self.keys).orderBy(ts).rangeBetween(
                 Window.unboundedPreceding, -width - 1)
@@ -159,23 +158,43 @@ class Ordered:
             return self._set(self.df.withColumns({
                 o: F.sum(m).over(rows) - F.coalesce(F.sum(m).over(old), F.sum(m).over(rows) * 0)
                 for o, m in measures.items()}))
-        # Many chunks per key: the cut-off times join the same ordered sequence as the rows,
-        # each one ahead of the rows at its time, and read off the running sum there.
+        return self._difference(ts, -width, 0, measures, lambda run, cut, own: run - F.coalesce(cut, run * 0))
+
+    def leading(self, ts: str, width: int, **measures: Column) -> "Ordered":
+        """Sums over rows at or after this one (by order) with ``ts <= this.ts + width``.
+
+        Measures must not be null.
+        """
+        if not self.chunked:
+            upto = Window.partitionBy(*self.keys).orderBy(ts).rangeBetween(
+                Window.unboundedPreceding, width)
+            rows = self._rows_so_far()
+            return self._set(self.df.withColumns({
+                o: F.sum(m).over(upto) - F.sum(m).over(rows) + m for o, m in measures.items()}))
+        return self._difference(ts, width, 2, measures, lambda run, cut, own: cut - run + own)
+
+    def _difference(self, ts, shift, kind, measures, combine) -> "Ordered":
+        """Running sum at ``ts + shift`` against the running sum at the row.
+
+        The cut-off times join the same ordered sequence as the rows (ahead of rows of equal time
+        for kind 0, behind them for kind 2) and read off the running sum there, so no task needs
+        the whole key and no window its whole span.
+        """
+        names = list(measures)
         run = self.running(**{f"_r_{o}": m for o, m in measures.items()})
         rows = run.df.withColumns({f"_m_{o}": m for o, m in measures.items()})
         back = self.keys + self.order
         cut = rows.select(
-            *back, (F.col(ts) - width).alias("_at"), F.lit(0).alias("_kind"),
+            *back, (F.col(ts) + shift).alias("_at"), F.lit(kind).alias("_kind"),
             *[F.lit(None).cast(rows.schema[f"_m_{o}"].dataType).alias(f"_m_{o}") for o in names])
         data = rows.select(*back, F.col(ts).alias("_at"), F.lit(1).alias("_kind"),
                            *[f"_m_{o}" for o in names])
-        seq = Ordered(cut.unionByName(data), self.keys,
-                      ["_at", "_kind"] + self.order,
+        seq = Ordered(cut.unionByName(data), self.keys, ["_at", "_kind"] + self.order,
                       (2 * self.sizes[0], 2 * self.sizes[1]))
-        olds = (seq.running(**{f"_o_{o}": F.col(f"_m_{o}") for o in names}).df
-                .filter("_kind = 0").select(*back, *[f"_o_{o}" for o in names]))
-        got = rows.join(olds, back, "left").withColumns({
-            o: F.col(f"_r_{o}") - F.coalesce(F.col(f"_o_{o}"), F.col(f"_r_{o}") * 0) for o in names})
+        cuts = (seq.running(**{f"_o_{o}": F.col(f"_m_{o}") for o in names}).df
+                .filter(F.col("_kind") == kind).select(*back, *[f"_o_{o}" for o in names]))
+        got = rows.join(cuts, back, "left").withColumns({
+            o: combine(F.col(f"_r_{o}"), F.col(f"_o_{o}"), F.col(f"_m_{o}")) for o in names})
         return self._set(got.drop(*[f"{p}{o}" for o in names for p in ("_r_", "_m_", "_o_")]))
 
 
