@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RAIL_KEYWORDS
-from ..sources.tables import LEDGER_COLUMNS
+from ..sources.tables import CARD_COLUMNS, LEDGER_COLUMNS, MONEY_COLUMNS, SCORED_COLUMNS, SIM_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,15 @@ EDGES_SQL = """edges AS (SELECT * FROM (SELECT event_id AS id, CAST(user_id AS B
 
 def with_(*ctes: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n"
+
+
+def _cte(columns: dict[str, str]) -> str:
+    return ", ".join(f'{e} AS "{n}"' for n, e in columns.items())
+
+
+EVENTS_US = "(SELECT *, CAST(ts AS TIMESTAMP) AS dt, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events)"
+CARDS_SQL = f"cards AS (SELECT {_cte(CARD_COLUMNS)} FROM {EVENTS_US})"
+SCORED_SQL = f"scored AS (SELECT {_cte(SCORED_COLUMNS)}, dt FROM {EVENTS_US})"
+MONEY_SQL = f"money AS (SELECT {_cte(MONEY_COLUMNS)} FROM lineitem)"
+SIM_SQL = f"""sim AS (SELECT {_cte(SIM_COLUMNS)}, moment, CAST(DATE '1960-01-01' + CAST(o_custkey % 10000 AS INT) AS TIMESTAMP) AS dob
+ FROM (SELECT *, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey * 7919 % 86400 AS BIGINT)) AS moment FROM orders))"""

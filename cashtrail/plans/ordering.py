@@ -209,19 +209,37 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
     sizes = sizes or group_sizes(df, keys)
     if sizes[0] <= row_limit(df):
         return df.groupBy(*keys).agg(*[F.percentile(value, q).alias(o) for o, q in wanted.items()])
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = Ordered(counted, keys, [value]).running(_cum=F.col("_n")).plain()
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
-    aggs = []
+    ranked = counted_values(df, keys, value)
+    aggs, out = [], []
     for o, q in wanted.items():
-        pos = (F.col("_total") - 1) * F.lit(float(q))
-        aggs += [F.min(F.when(F.col("_cum") > F.floor(pos), F.col(value))).alias(f"_lo_{o}"),
-                 F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{o}")]
-    got = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
-    out = []
-    for o, q in wanted.items():
-        pos = (F.col("_total") - 1) * F.lit(float(q))
-        frac = pos - F.floor(pos)
-        out.append((F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * frac).alias(o))
-    return got.select(*keys, *out)
+        pos = (F.col("total") - 1) * F.lit(float(q))
+        aggs += [F.min(F.when(F.col("cum") > F.floor(pos), F.col(value))).alias(f"_lo_{o}"),
+                 F.min(F.when(F.col("cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{o}")]
+        out.append((F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * (pos - F.floor(pos))).alias(o))
+    return ranked.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, *out)
+
+
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per key with ``n``, running count ``cum`` and the key's ``total``."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = Ordered(counted, keys, [value]).running(cum=F.col("n")).plain()
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    if keys:
+        return ranked.join(totals, keys)
+    return ranked.join(F.broadcast(totals), F.lit(True))     # one row
+
+
+def value_at_rank(ranked: DataFrame, keys: list[str], value: str, rank: Column, name: str) -> DataFrame:
+    """Smallest value whose running count reaches ``rank`` (an expression over total)."""
+    return ranked.groupBy(*keys).agg(F.min(F.when(F.col("cum") >= rank, F.col(value))).alias(name),
+                                     F.max("total").alias("total"))
+
+
+def interpolated(ranked: DataFrame, keys: list[str], value: str, level: Column, name: str) -> DataFrame:
+    """Linear-interpolated quantile at ``level`` (an expression over total)."""
+    pos = (F.col("total") - 1) * level
+    got = ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("cum") > F.floor(pos), F.col(value))).alias("_lo"),
+        F.min(F.when(F.col("cum") > F.ceil(pos), F.col(value))).alias("_hi"), F.max("total").alias("total"))
+    frac = pos - F.floor(pos)
+    return got.withColumn(name, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).drop("_lo", "_hi")
