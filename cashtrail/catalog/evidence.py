@@ -151,3 +151,12 @@ def n7_counts(spark, sf):
  UNION ALL SELECT case_id, event_pos, trim(narration) FROM events_ WHERE case_id IN (SELECT case_id FROM claims) AND case_id NOT IN (SELECT case_id FROM checked WHERE grounded)) GROUP BY case_id""")
 def n8(spark, sf):
     return V.narrative(written(checked(spark, sf), "checked"), events(spark, sf))
+
+
+@query("G9", BASE + f"""SELECT case_id, pos, array_to_string(list_sort(list_filter(cw, lambda x: NOT list_contains({STOP}, x))), ',') AS informative,
+ array_to_string(list_sort(list_filter(cw, lambda x: list_contains({STOP}, x))), ',') AS stopwords FROM f""")
+def g9(spark, sf):
+    stop = F.array(*[F.lit(w) for w in V.STOPWORDS])
+    f = V.facts(claims(spark, sf))
+    text = lambda c: F.array_join(F.sort_array(c), ",")
+    return f.select("case_id", "pos", text(F.array_except("words", stop)).alias("informative"), text(F.array_intersect("words", stop)).alias("stopwords"))

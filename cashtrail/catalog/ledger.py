@@ -269,3 +269,32 @@ def f2(spark, sf):
 def f3(spark, sf):
     rows = L.Ordered(T.ledger(spark, sf), ["account_id"], ["dt", "id"]).numbered("rn").plain()
     return rows.select("account_id", "id", (F.col("rn") - 1).alias("row_index"))
+
+
+# -- sorts, unions and list operations used by the operators above -------------------------
+@query("G2", ALL_ANOMALIES + "SELECT account_id, anomaly_type, count(*) AS n, round(max(severity), 2) AS top FROM anomalies GROUP BY ALL")
+def g2(spark, sf):
+    return anomalies(spark, sf).groupBy("account_id", "anomaly_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("severity"), 2).alias("top"))
+
+
+@query("G7", with_(LEDGER_SQL, DAYS, SPIKES, STEPS, BREAKS) + f"SELECT {TEXT} FROM (SELECT * FROM spikes UNION ALL SELECT * FROM breaks)")
+def g7(spark, sf):
+    led = T.ledger(spark, sf)
+    return texted(L.timing_spikes(led, min_count=SPIKE_COUNT).unionByName(L.balance_breaks(led, sigmas=BREAK_SIGMAS)))
+
+
+@query("G8", with_(LEDGER_SQL, PAIRS, recursive=True) + "SELECT id_1, id_2, id_1 || ',' || id_2 AS ids FROM pairs")
+def g8(spark, sf):
+    p = R.reversal_pairs(T.ledger(spark, sf))
+    return p.select("id_1", "id_2", F.array_distinct(F.array("id_1", "id_2", "id_1")).alias("ids")).withColumn("ids", joined("ids"))
+
+
+@query("G10", with_(LEDGER_SQL, DAYS, SPIKES) + "SELECT account_id, window_start, array_to_string(evidence[1:2], ',') AS evidence FROM spikes")
+def g10(spark, sf):
+    s = L.timing_spikes(T.ledger(spark, sf), min_count=SPIKE_COUNT)
+    return out(s.select("account_id", "window_start", F.slice("evidence", 1, 2).alias("evidence")).withColumn("evidence", joined("evidence")))
+
+
+@query("G11", ALL_ANOMALIES + "SELECT DISTINCT account_id, unnest(evidence) AS id FROM anomalies")
+def g11(spark, sf):
+    return anomalies(spark, sf).select("account_id", F.explode("evidence").alias("id")).distinct()
