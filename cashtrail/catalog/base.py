@@ -18,7 +18,13 @@ def query(key: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``key`` with its SQL twin, if there is one."""
     def add(fn):
         assert key not in QUERIES, key
-        QUERIES[key] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")     # days and hours are UTC throughout
+            return fn(spark, sf_dir)
+
+        run.__module__, run.__name__ = fn.__module__, fn.__name__
+        QUERIES[key] = run
         if sql is not None:
             SQL[key] = sql
         return fn

@@ -5,6 +5,8 @@ They cut lineage: once written, a lost executor costs only the tasks that read t
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="cashtrail-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
