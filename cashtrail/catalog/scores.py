@@ -238,7 +238,6 @@ def m4(spark, sf):
     return CF.risk_intervals(h.filter("half = 'evaluate'"), cal, TAU).select("id", "side", "lower", "upper")
 
 
-SINGLE = """single AS (SELECT quantile_cont(r, least(1.0E0, ceil((n + 1) * 0.9E0) / n)) AS q_hat, n FROM (SELECT list(abs(label - score)) AS rs, count(*) AS n FROM scored), unnest(rs) AS u(r) GROUP BY n)"""
 SINGLE = """res AS (SELECT abs(label - score) AS r FROM scored), lv AS (SELECT count(*) AS n, least(1.0E0, ceil((count(*) + 1) * 0.9E0) / count(*)) AS lv FROM res),
 rk AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i FROM res),
 single AS (SELECT n, lv, a.r + (b.r - a.r) * ((n - 1) * lv - floor((n - 1) * lv)) AS q_hat FROM lv JOIN rk a ON a.i = floor((n - 1) * lv) JOIN rk b ON b.i = ceil((n - 1) * lv))"""

@@ -93,8 +93,7 @@ def smote(rows: DataFrame, label: str, key: str, features: list[str], ratio: flo
     k = min(k, n.pos - 1)
     minority = written(base.filter(F.col(label) == 1).select(key, *features), "minority")
     each, extra = divmod(wanted, n.pos)
-    # the rows with the smallest hashes make one more; their hash limit is a quantile of few values
-    w = Window.orderBy("h", key)
+    # the rows with the smallest hashes make one more
     hashed = minority.withColumn("h", F.xxhash64(F.col(key), F.lit(seed)))
     if extra:
         more = hashed.orderBy("h", key).limit(extra).select(key, F.lit(1).alias("more"))

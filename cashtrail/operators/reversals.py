@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import CHUNK, Ordered, group_sizes
+from ..plans.ordering import CHUNK, Ordered
 
 PAIR_SECONDS = 172_800
 FOLD_ROWS = 2_000          # a group up to this size is folded as one array
