@@ -5,7 +5,7 @@ Everything that needs a ranking works on distinct scores with their counts, not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import Ordered, exact_percentiles
@@ -129,10 +129,7 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed
 
 def seeded_sample(rows: DataFrame, label: str, key: str, total: int, cap_positive: int = 500, seed: int = 42) -> DataFrame:
     """At most ``cap_positive`` positives, filled with negatives up to ``total``, fixed by the seed."""
-    w = Window.partitionBy(label).orderBy("_h", key)
     ranked = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    pos = ranked.filter(F.col(label) == 1).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap_positive)
-    neg = ranked.filter(F.col(label) == 0).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= total)
-    n_pos = pos.agg(F.count(F.lit(1)).alias("_n_pos"))                                             # one row
-    neg = neg.join(F.broadcast(n_pos), F.lit(True)).filter(F.col("_rn") <= F.lit(total) - F.col("_n_pos")).drop("_n_pos")
-    return pos.unionByName(neg).drop("_h", "_rn")
+    first = lambda value, n: ranked.filter(F.col(label) == value).orderBy("_h", key).limit(n)
+    n_pos = min(cap_positive, rows.filter(F.col(label) == 1).limit(cap_positive).count())
+    return first(1, cap_positive).unionByName(first(0, total - n_pos)).drop("_h")

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import Ordered
 from ..plans.storage import written
 from .metrics import average_precision, best_threshold, class_weights, confusion_at, roc_auc, stratified_folds
 
@@ -95,13 +96,9 @@ def smote(rows: DataFrame, label: str, key: str, features: list[str], ratio: flo
     each, extra = divmod(wanted, n.pos)
     # the rows with the smallest hashes make one more
     hashed = minority.withColumn("h", F.xxhash64(F.col(key), F.lit(seed)))
-    if extra:
-        more = hashed.orderBy("h", key).limit(extra).select(key, F.lit(1).alias("more"))
-        hashed = hashed.join(more, key, "left")
-    else:
-        hashed = hashed.withColumn("more", F.lit(0))
-    copies = F.lit(each) + F.coalesce("more", F.lit(0))
-    seeds = hashed.withColumn("c", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop("more", "h")
+    hashed = Ordered(hashed, [], ["h", key]).numbered("place").plain().withColumn("more", (F.col("place") <= extra).cast("int"))
+    copies = F.lit(each) + F.col("more")
+    seeds = hashed.withColumn("c", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop("more", "h", "place")
     pick = (F.pmod(F.xxhash64(F.col(key), F.col("c"), F.lit(seed + 1)), F.lit(k)) + 1).cast("int")
     share = F.pmod(F.xxhash64(F.col(key), F.col("c"), F.lit(seed + 2)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     near = nearest_minority(minority, key, features, k, n.pos)

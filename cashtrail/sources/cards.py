@@ -46,7 +46,7 @@ def scan_card(spark: SparkSession, path: str, sample_size: int | None = None) ->
 def normalise_card_sim(raw: DataFrame) -> DataFrame:
     ts = F.to_timestamp("trans_date_trans_time")
     start = raw.agg(F.min(ts).alias("_start"))          # one row
-    rows = raw.withColumn("timestamp", ts).crossJoin(F.broadcast(start))
+    rows = raw.withColumn("timestamp", ts).join(F.broadcast(start), F.lit(True))
     return rows.select(
         F.lit("kartik2112").alias("dataset_id"), F.col("trans_num").alias("transaction_id"), "timestamp",
         ((F.unix_micros("timestamp") - F.unix_micros("_start")) / F.lit(1e6)).alias("timestamp_seconds"),
