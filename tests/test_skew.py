@@ -1,6 +1,7 @@
 """A key too large for one task gives the same rows as the plain plans."""
 
 import math
+import os
 
 import pytest
 
@@ -20,7 +21,12 @@ def rows(df):
     return sorted(tuple(str(cell(r[n])) for n in names) for r in df.collect())
 
 
-@pytest.mark.parametrize("key", KEYS)
+# one query per ordered operation; CASHTRAIL_ALL=1 runs the whole list (about five minutes)
+CORE = ["B7", "D2", "D4", "D13", "E1", "E9", "F4", "F5", "F8", "F12", "I2", "J14", "K1", "M1", "M5", "N4_running"]
+assert set(CORE) <= set(KEYS)
+
+
+@pytest.mark.parametrize("key", KEYS if os.environ.get("CASHTRAIL_ALL") else CORE)
 def test_chunked_plan_equals_plain_plan(spark, small_tasks, key):
     plain = rows(QUERIES[key](spark, SF))
     small_tasks(1_500, fold=20)
