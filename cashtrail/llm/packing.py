@@ -29,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_TOKENS = 4096
 GROUP_PIECES = 40_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
