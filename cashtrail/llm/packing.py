@@ -29,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_TOKENS = 4096
 GROUP_PIECES = 40_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,59 +41,80 @@ class Encoder:
     Texts with special strings or separators the rules disagree on go through the tokenizer as a whole.
     """
 
-    PUNCTUATION = ".,;:!?"
+    PUNCTUATION = ".,;:!?#%*&$|+-=/()[]{}\"@_~^`\\"      # no apostrophe: some begin a contraction
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known, self.stems, self.tails = (Memory(CACHED_WORDS) for _ in range(3))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if len(self.stems) > CACHED_WORDS:
-            self.stems.clear()
         parts, fresh = [], {}
         for w in new:
             stem = w.rstrip(self.PUNCTUATION)
             low = stem.lower()
             if stem and low.isalpha() and stem.isalpha() and max(low) < "ɐ" and max(stem) < "ɐ":
                 parts.append((w, low, w[len(stem):]))
-                if low not in self.stems:
+                if self.stems.get(low) is None:
                     fresh[low] = None
             else:
-                self.known[w] = self.ids(w)
+                self.known.put(w, self.ids(w))
         if fresh:
             ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(fresh):
+                data = ids.tobytes()
                 for low, a, b in zip(fresh, [0, *cuts], cuts, strict=False):
-                    self.stems[low] = ids[a:b].tobytes()
+                    self.stems.put(low, data[4 * a:4 * b])
             else:                                           # a word whose end id is unusual: one by one
                 for low in fresh:
-                    self.stems[low] = self.ids(low)
+                    self.stems.put(low, self.ids(low))
         for w, low, tail in parts:
-            if tail and tail not in self.stems:
-                self.stems[tail] = self.ids(tail)
-            self.known[w] = self.stems[low] + self.stems[tail] if tail else self.stems[low]
+            ids = self.stems.get(low)
+            if tail:
+                if self.tails.get(tail) is None:
+                    self.tails.put(tail, self.ids(tail))
+                ids += self.tails.get(tail)
+            self.known.put(w, ids)
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.ids(text)
         found = text.split()
-        known = self.known
-        if missing := [w for w in dict.fromkeys(found) if w not in known]:
+        new = self.known.new
+        missing = [w for w in dict.fromkeys(found) if w not in new]
+        if missing and (missing := [w for w in missing if self.known.get(w) is None]):
             self._learn(missing)
-            known = self.known
-            if any(w not in known for w in found):          # the memory was emptied meanwhile
-                self._learn([w for w in dict.fromkeys(found) if w not in known])
-        return b"".join([known[w] for w in found])
+        out = b"".join([new[w] for w in found])
+        self.known.turn()
+        self.stems.turn()
+        self.tails.turn()
+        return out
+
+
+class Memory:
+    """A bounded dict in two generations: what is used stays, the rest goes when the newer one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.new[key] = value
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        self.new[key] = value
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
 
 
 def piece_rows(text: str, encode: Encoder, most: int = MAX_TOKENS) -> list[dict]:
