@@ -64,7 +64,8 @@ def votes(keys: list[str], text: Column, rows: DataFrame) -> DataFrame:
     Where ``rows`` are already dealt by one of the keys nothing moves.
     """
     w = F.filter(F.split(text, "\\s+"), lambda x: x != "")
-    terms = rows.select(*keys, F.posexplode_outer(F.arrays_zip(w.alias("x"), F.slice(w, 2, 2**31 - 1).alias("y"))).alias("at", "t"))
+    split = rows.select(*keys, w.alias("x")).withColumn("y", F.slice("x", 2, F.size("x")))
+    terms = split.select(*keys, F.posexplode_outer(F.arrays_zip("x", "y")).alias("at", "t"))
     there = F.when(F.col("t").isNull(), 0).otherwise(1)
     hashed = terms.select(*keys, F.floor(F.coalesce("at", F.lit(0)) / 127).alias("run"), there.cast("long").alias("there"),
                           F.xxhash64("t.x", "t.y").alias("h"), F.xxhash64(F.lit(7), F.col("t.x"), F.col("t.y")).alias("g"))

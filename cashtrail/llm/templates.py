@@ -59,7 +59,7 @@ _BINARY: dict[str, Callable] = {
     "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b,
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "~": lambda a, b: _text(a) + _text(b),
 }
-_LEVELS = (("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("*",))
+_LEVELS = (("==", "!=", "<", ">", "<=", ">=", "in"), ("~",), ("+", "-"), ("*",))
 
 
 def _text(value) -> str:
