@@ -11,6 +11,7 @@ Both ways give the same rows. With no keys the same rule covers table-wide numbe
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,10 @@ class Ordered:
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def _with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        """Attach per-chunk carries; their row count is known, so broadcasting is checked."""
+        """Attach per-chunk carries. Only a key that crosses a chunk border has one, and a border is crossed by one key:
+        without the empty ones there are at most as many rows as chunks, so the check bounds what is broadcast."""
+        held = [F.col(c).isNotNull() for c in carry.columns if c not in self.parts]
+        carry = carry.filter(reduce(Column.__or__, held))
         if self.n_chunks <= BROADCAST_CHUNKS:
             carry = F.broadcast(carry)
         return df.join(carry, self.parts, "left")
@@ -126,20 +130,24 @@ class Ordered:
         return self.running(**{name: F.lit(1).cast("long")})
 
     def next_known(self, **cols: str) -> "Ordered":
-        """``out=source``: the first non-null ``source`` on a later row of the key."""
-        w = self.window().rowsBetween(1, Window.unboundedFollowing)
+        """``out=source``: the first non-null ``source`` on a later row of the key.
+
+        Looked up as the last known value before this row in the reverse order, so that a key of n rows takes n steps.
+        """
+        back = [F.col(o).desc() if isinstance(o, str) else o.desc() for o in self.order]
+        w = Window.partitionBy(*self.parts).orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
         if not self.chunked:
             return self._set(self.df.withColumns(
-                {o: F.first(s, ignorenulls=True).over(w) for o, s in cols.items()}))
-        later = self._chunk_window().rowsBetween(1, Window.unboundedFollowing)
+                {o: F.last(s, ignorenulls=True).over(w) for o, s in cols.items()}))
+        later = Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
         order = F.struct(*self.order)
         carry = self.df.groupBy(*self.parts).agg(
             *[F.min_by(F.col(s), F.when(F.col(s).isNotNull(), order)).alias(f"_f_{o}")
               for o, s in cols.items()])
         carry = carry.select(*self.parts, *[
-            F.first(f"_f_{o}", ignorenulls=True).over(later).alias(f"_c_{o}") for o in cols])
+            F.last(f"_f_{o}", ignorenulls=True).over(later).alias(f"_c_{o}") for o in cols])
         got = self._with_carry(
-            self.df.withColumns({o: F.first(s, ignorenulls=True).over(w) for o, s in cols.items()}),
+            self.df.withColumns({o: F.last(s, ignorenulls=True).over(w) for o, s in cols.items()}),
             carry)
         return self._set(got.withColumns(
             {o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in cols}
