@@ -13,6 +13,7 @@ each on its own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -20,109 +21,33 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ..plans.storage import written
 from .common import packed, row_ids, text_of
+from .word_ids import Encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_TOKENS = 4096
 GROUP_PIECES = 40_000
-CACHED_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes, remembering words.
-
-    The tokenizer drops white space before it splits, so a text's ids are those of its parts between white space, and a
-    Latin word followed by plain punctuation splits there. New words are encoded together, one per word end.
-    Texts with special strings or separators the rules disagree on go through the tokenizer as a whole.
-    """
-
-    PUNCTUATION = ".,;:!?#%*&$|+-=/()[]{}\"@_~^`\\"      # no apostrophe: some begin a contraction
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known, self.stems, self.tails = (Memory(CACHED_WORDS) for _ in range(3))
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        parts, fresh = [], {}
-        for w in new:
-            stem = w.rstrip(self.PUNCTUATION)
-            low = stem.lower()
-            if stem and low.isalpha() and stem.isalpha() and max(low) < "ɐ" and max(stem) < "ɐ":
-                parts.append((w, low, w[len(stem):]))
-                if self.stems.get(low) is None:
-                    fresh[low] = None
-            else:
-                self.known.put(w, self.ids(w))
-        if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(fresh):
-                data = ids.tobytes()
-                for low, a, b in zip(fresh, [0, *cuts], cuts, strict=False):
-                    self.stems.put(low, data[4 * a:4 * b])
-            else:                                           # a word whose end id is unusual: one by one
-                for low in fresh:
-                    self.stems.put(low, self.ids(low))
-        for w, low, tail in parts:
-            ids = self.stems.get(low)
-            if tail:
-                if self.tails.get(tail) is None:
-                    self.tails.put(tail, self.ids(tail))
-                ids += self.tails.get(tail)
-            self.known.put(w, ids)
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.ids(text)
-        found = text.split()
-        new = self.known.new
-        missing = [w for w in dict.fromkeys(found) if w not in new]
-        if missing and (missing := [w for w in missing if self.known.get(w) is None]):
-            self._learn(missing)
-        out = b"".join([new[w] for w in found])
-        self.known.turn()
-        self.stems.turn()
-        self.tails.turn()
-        return out
-
-
-class Memory:
-    """A bounded dict in two generations: what is used stays, the rest goes when the newer one is full."""
-
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.new[key] = value
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        self.new[key] = value
-
-    def turn(self) -> None:
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
-
-
-def piece_rows(text: str, encode: Encoder, most: int = MAX_TOKENS) -> list[dict]:
-    """Place, length and checksum of every piece of one document."""
-    ids = encode(text) + int(END_ID).to_bytes(4, "little")
-    n = len(ids) // 4
-    return [{"piece": i, "start": start, "length": min(most, n - start),
-             "ids_crc32": zlib.crc32(ids[4 * start:4 * min(start + most, n)])} for i, start in enumerate(range(0, n, most))]
+def piece_lists(found: Iterable[np.ndarray], most: int) -> pa.Array:
+    """Place, length and checksum of every piece of each text, by its ids."""
+    lengths, sums = [], []
+    for ids in found:
+        data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        lengths.append(len(ids))
+        sums += [zlib.crc32(data[4 * i:4 * (i + most)]) for i in range(0, len(ids), most)]
+    length = np.array(lengths, np.int64)
+    count = -(-length // most)
+    at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    piece = (np.arange(at[-1]) - np.repeat(at[:-1], count)).astype(np.int32)
+    start = piece.astype(np.int64) * most
+    size = np.minimum(most, np.repeat(length, count) - start)
+    rows = pa.StructArray.from_arrays([pa.array(piece), pa.array(start), pa.array(size), pa.array(sums, pa.int64())], ["piece", "start", "length", "ids_crc32"])
+    return pa.ListArray.from_arrays(pa.array(at), rows)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -131,18 +56,15 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One per Python worker, so that its memory of words outlives a task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, END_ID)
     return _encoders[path]
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = MAX_TOKENS) -> DataFrame:
     """One row per piece of every document."""
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(texts: pa.Array) -> pa.Array:
-        encode = encoder(public_tokenizers.path(vocabulary))
-        return pa.array([piece_rows(t, encode, most) for t in texts.to_pylist()], kind)
+        return piece_lists(encoder(public_tokenizers.path(vocabulary))(texts), most)
 
     rows = packed(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), cut(text_of()).alias("found"))
     return rows.select("doc_id", F.inline("found"))

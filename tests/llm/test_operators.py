@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -288,10 +289,24 @@ def test_lattice_base_scores(docs, empty):
 # -- 8 packing --------------------------------------------------------------------------------------
 def test_encoder_equals_tokenizer():
     path = public_tokenizers.path(packing.VOCABULARY)
-    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    encode, plain = packing.Encoder(path, packing.END_ID), Tokenizer.from_file(path)
     odd = ["The 'S it's don't", "STOP!!", "ÉÈ ẞ İx ﬁ ŉ", "a<|endoftext|>b", "ΟΔΟΣ σς", "x\x1cy\x85z", "12ab a1.", "", "  ", "é combining", "word… (paren) \"q\" a,b", "\\x {y} ***", "ª º ǅ"]
-    for t in odd + [t or "" for _, t in TEXTS]:
-        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    odd += ["a×b; ÷", "it's. --a-- ***", "\x0b\x0c z", "two  spaces, éa! " * 40_000 + "q" * 300, "nospaces," * 40_000, None]
+    texts = odd + [t for _, t in TEXTS]
+    for t, got in zip(texts, encode(pa.array(texts)), strict=True):
+        assert got.tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID], t
+    assert [x.tolist() for x in encode(pa.array(texts).slice(3, 5))] == [x.tolist() for x in encode(pa.array(texts[3:8]))]
+    assert list(encode(pa.array([], pa.string()))) == []
+
+
+def test_encoder_with_little_memory():
+    path, r = public_tokenizers.path(packing.VOCABULARY), np.random.default_rng(5)
+    encode, plain, emptied = packing.Encoder(path, packing.END_ID, bits=12), Tokenizer.from_file(path), 0
+    for _ in range(20):
+        text, before = " ".join("".join(r.choice(list("abcdeÉ.'"), 6)) for _ in range(300)), encode.memory.count
+        assert next(encode(pa.array([text]))).tolist()[:-1] == plain.encode(text, add_special_tokens=False).ids
+        emptied += encode.memory.count < before
+    assert emptied
 
 
 @pytest.mark.parametrize("seed", range(30))
