@@ -63,8 +63,7 @@ def money_models(spark, sf):
 
 def money_calibration(spark, sf):
     boosted, forest = money_models(spark, sf)
-    test = M.seeded_sample(M.step_split(money(spark, sf)).filter("split = 'test'"), "label", "id", total=5_000)
-    return CF.single_calibration(ML.score_with(forest, test))
+    return CF.single_calibration(ML.score_with(forest, M.step_split(money(spark, sf)).filter("split = 'test'")))
 
 
 @query("J4")

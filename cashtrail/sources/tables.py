@@ -42,11 +42,8 @@ LEDGER_COLUMNS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. A file large enough to split but too small to give every core a split
-    is dealt out first; a table of many files never is."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    splits, cores = rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 1 < splits < cores else rows
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from cashtrail.operators import adjudicate as A
 from cashtrail.operators import conformal as CF
 from cashtrail.operators import drift as DR
 from cashtrail.operators import evidence as EV
+from cashtrail.operators import explain as E
 from cashtrail.operators import features as X
 from cashtrail.operators import metrics as M
 from cashtrail.operators import models as ML
@@ -287,3 +288,14 @@ def test_every_query_has_columns_and_known_keys():
     from cashtrail import catalog
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) > 120
+
+
+def test_counterfactual_keeps_rejected_and_equal_overrides(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "id long, a double, b double, label int")
+    model = ML.logistic(["a", "b"], "label").fit(rows)
+    overrides = spark.createDataFrame([(1, "zz", "1"), (2, "a", "2.0"), (3, "A", "6"), (3, "b", "x")], "id long, feature string, value string")
+    got = {r.id: r for r in E.counterfactual(rows, overrides, ["id"], model, ["a", "b"], 0.5).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[1].attribution_deltas == [] and got[1].n_rejected == 1 and got[1].original_risk_score == got[1].recalculated_risk_score
+    assert [(d.feature, d.delta) for d in got[2].attribution_deltas] == [("a", 0.0)]
+    assert [d.feature for d in got[3].attribution_deltas] == ["a"] and got[3].n_rejected == 1 and got[3].recalculated_risk_score > got[3].original_risk_score
