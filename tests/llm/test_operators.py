@@ -401,6 +401,16 @@ def near_texts():
     return [(i, t) for i, t in enumerate(out)]
 
 
+@pytest.mark.parametrize("n", [4, 5])
+@pytest.mark.parametrize("words", range(6))
+def test_short_text_alone_in_a_chunk(n, words):
+    text, none = prose(words, 4), np.zeros(0, np.int64)
+    alone = [s.tolist() for sets, _ in ngram_join.chunks(pa.array([text]), n, none) for s in sets]
+    before_long = [s.tolist() for sets, _ in ngram_join.chunks(pa.array([text, "long " * ngram_join.CHUNK]), n, none) for s in sets]
+    beside = [s.tolist() for sets, _ in ngram_join.chunks(pa.array([text, BASE]), n, none) for s in sets]
+    assert alone[0] == before_long[0] == beside[0] and len(alone[0]) == len(ngrams(text, n)) and len(before_long[1]) == 1
+
+
 @pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
 def test_join_components(spark, docs, empty, n, num, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 6)
