@@ -422,6 +422,31 @@ def test_join_components(spark, docs, empty, n, num, monkeypatch):
     assert ngram_join.report(empty).count() == 0
 
 
+def test_join_of_one_passage_is_dealt_in_blocks(spark, monkeypatch):
+    """Texts that share a passage and do not link give few pairs, near copies link across blocks and chunks, copies are read once."""
+    r, passage, sizes = random.Random(21), prose(110, 77), {}
+    texts = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(r.randint(13, 17)))) for i in range(150)]
+    for g in range(40):
+        w = prose(60, 900 + g % 3).split()
+        w[r.randrange(50)] = f"edit{g}"
+        texts.append((1000 + g, " ".join(w)))
+    texts += [(2000 + i, texts[150][1]) for i in range(60)]
+    real = ngram_join.written
+
+    def counted(df, name="cut"):
+        out = real(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(ngram_join, "ROWS", 7, raising=False)
+    df = spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, uid string").repartition(3)
+    want = brute_components(texts, 4, 85, 100)
+    got = ngram_join.classes(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((d, s, c) for (d, _), c, s in zip(texts, *want, strict=True))
+    assert max(sizes["pairs"]) < 3_000, sizes               # all pairs of the passage are 11,175
+
+
 def test_join_keeps_one_of_each_group(spark):
     texts = near_texts() + [(0, near_texts()[0][1])]
     df = spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, uid string")
