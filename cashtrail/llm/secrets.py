@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every whole text is scanned for candidates: assignments, access keys, long hex runs and, beyond these, bare mixed
-tokens. Candidate hashes are counted over distinct repositories and owners of the whole corpus: a value many owners
-carry is a copied ``example``; one that few carry and that looks random is ``live``; the rest is ``plain``.
+tokens. Candidate hashes are counted over distinct repositories and owners of the whole corpus: a value that many owners
+or many repositories carry, be they all of one owner, is a copied ``example``; one that few carry and that looks random is
+``live``; the rest is ``plain``. Repositories count by distinct texts, so copies of one file do not make an example.
 Base spans stay whatever their class; bare tokens become spans only where the corpus shows them to be live.
 Counts are pre-aggregated by distinct (value, owner, repository), so a value that a third of all rows repeat stays cheap.
 
 Defined results: a null text is empty (no spans); a null owner or repository counts as one unknown one; repeated rows are
-reported each, but count once as a repository; an empty table gives no rows; columns may have any names.
+reported each, but count once as a repository, as do repositories with the same text; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ KINDS = ("assign", "access", "hex", "bare")
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|dummy|sample|xxxx|0000", re.I)
 
 MAX_OWNERS = 2          # a value with more distinct owners is an example
+MAX_REPOS = 20          # so is one in more distinct repositories, counted over distinct texts, even of one owner
 MIN_ENTROPY = 3.0       # bits a character of a value that looks random
 SPANS = "array<struct<kind:string,start:int,end:int,hash:string,random:boolean>>"
 
@@ -80,12 +82,19 @@ def scan(text: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repos over rows (hash, owner, repo)."""
+    """hash, n_owners, n_repos, n_texts over rows (hash, owner, repo, text_key).
+
+    ``n_texts``: distinct repositories, those that carry the value in the same text counted as one. Each text stands for its
+    smallest repository, so that neither many copies of a text nor many texts of a repository add to the count.
+    """
     repos = found.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("r"))
-    return repos.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
+    texts = found.groupBy("hash", "text_key").agg(F.min(F.struct("owner", "repo")).alias("at")).select("hash", "at").distinct()
+    return repos.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos")).join(
+        texts.groupBy("hash").agg(F.count("*").alias("n_texts")), "hash")
 
 
-def find(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS,
+         max_repos: int = MAX_REPOS) -> tuple[DataFrame, DataFrame]:
     """(rows without a candidate, rows with candidates and their classes).
 
     Both have ``row``, the whole input row; the second has ``spans`` by start, then kind:
@@ -94,9 +103,10 @@ def find(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owner
     scanned = packed(docs).withColumn("spans", scan(text_of()))
     hits = written(row_ids(scanned.filter(F.size("spans") > 0)), "secrets")
     each = hits.select("uid", F.coalesce(F.col(f"row.`{owner}`").cast("string"), F.lit("")).alias("owner"),
-                       F.coalesce(F.col(f"row.`{repo}`").cast("string"), F.lit("")).alias("repo"), F.inline("spans"))
+                       F.coalesce(F.col(f"row.`{repo}`").cast("string"), F.lit("")).alias("repo"),
+                       F.xxhash64(text_of()).alias("text_key"), F.inline("spans"))
     judged = each.join(ownership(each), "hash").withColumn(
-        "class", F.when(F.col("n_owners") > max_owners, "example").when(F.col("random"), "live").otherwise("plain"))
+        "class", F.when((F.col("n_owners") > max_owners) | (F.col("n_texts") > max_repos), "example").when(F.col("random"), "live").otherwise("plain"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     kept = judged.filter((F.col("kind") != "bare") | (F.col("class") == "live")).groupBy("uid").agg(F.sort_array(F.collect_list(
         F.struct("start", rank.alias("rank"), "kind", "end", "class", "n_owners", "n_repos"))).alias("spans"))

@@ -114,6 +114,19 @@ def test_secrets_ownership(spark, empty):
     assert secrets.report(empty).count() == 0 and secrets.redact(empty).columns == empty.columns
 
 
+def test_secrets_of_one_owner(spark):
+    """Many repositories of one source make an example, copies of one text or many texts of one repository do not."""
+    copied, bare, live, inside = "secret: kD93nVq27Lsw", "Zq8Lt1mP0xWvKd93nVq27", "password = q8Zt1LmP0xWv", "api_key=Rw7Yb2NcQ5uHsJ"
+    table = [(i, f"{prose(5, i)} {copied} {bare} end", "hot") for i in range(60)] + [(100 + i, live, "hot") for i in range(60)]
+    table += [(200, f"{prose(5, i)} {inside}", "hot") for i in range(60)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = secrets.report(docs).collect()
+    assert {(r.n_live, r.n_example, r.n_bare) for r in got if r.doc_id < 100} == {(0, 1, 0)}
+    assert {(r.n_live, r.n_example) for r in got if r.doc_id >= 100} == {(1, 0)}
+    out = secrets.redact(docs).collect()
+    assert all(copied in r.text and bare in r.text for r in out if r.doc_id < 100) and not any(live in r.text or inside in r.text for r in out)
+
+
 # -- 3 templates ------------------------------------------------------------------------------------
 def test_template_language():
     render = templates.compile_template("{% set n = 2 * 3 %}{% for x in xs %}{% if loop.first %}[{% elif x > 1 and not loop.last %}-{% else %}{{ x | default('?') }}{% endif %}{% endfor %}{{ n }}{{ a.b[0] ~ '!' }}")
