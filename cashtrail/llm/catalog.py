@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, lattice, mixing, ngram_join, packing, secrets, simhash, templates, toxicity
+from . import ann, html, lattice, mixing, ngram_join, packing, resampling, runs, secrets, simhash, templates, toxicity
 from .common import table
 
 NEXT_CONVERSATION = -7      # the extra conversation whose texts are control strings
@@ -58,6 +58,14 @@ def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_extraction,
     "op2_secret_scan": secret_scan,
@@ -69,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing_,
     "op9_cross_polytope": neighbours,
     "op10_ngram_join": ngram_components,
+    "op12_resampling": target_resampling,
+    "op13_periodic_runs": periodic_runs,
 }
 SQL: dict[str, str] = {"op3_chat_format": templates.SQL, "op4_source_mix": mixing.SQL, "op10_ngram_join": ngram_join.SQL}
