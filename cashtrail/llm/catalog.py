@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, lattice, mixing, ngram_join, packing, resampling, runs, secrets, simhash, templates, toxicity
+from . import ann, html, lattice, mixing, near_vectors, ngram_join, packing, resampling, runs, secrets, simhash, templates, toxicity
 from .common import table
 
 NEXT_CONVERSATION = -7      # the extra conversation whose texts are control strings
@@ -58,6 +58,10 @@ def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.report(table(spark, sf_dir, "embeddings"))
+
+
 def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing_,
     "op9_cross_polytope": neighbours,
     "op10_ngram_join": ngram_components,
+    "op11_sorted_passes": near_embeddings,
     "op12_resampling": target_resampling,
     "op13_periodic_runs": periodic_runs,
 }

@@ -244,7 +244,7 @@ def find(docs: DataFrame, edit_by: str | None = None) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in pieces(batches):
             words = [repeated(w, i) for w, i in zip(held, part.column("key").to_pylist(), strict=True)]
-            answers = map(_answer, words, runs_of([_numbers(w) for w in words]), strict=True)
+            answers = [_answer(*a) for a in zip(words, runs_of([_numbers(w) for w in words]), strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*answers, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("row"), *columns], ["row", *NAMES])
 
