@@ -7,6 +7,8 @@ is written to shared storage, so a lost executor never replays the whole chain.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,42 +102,109 @@ def _first_edges(edges: DataFrame) -> DataFrame:
         F.col("dt").alias("last_dt"))
 
 
+def trimmed(edges: DataFrame, span: int, rounds: int = 4) -> DataFrame:
+    """Edges that may lie on a cycle: others leave their target and enter their source in the same span of time.
+
+    One round is two semi-joins on (account, time bucket) against distinct buckets. It only saves work, so the number of
+    rounds is free; they end early once nothing more goes.
+    """
+    bucket = F.expr(f"us div {span}")
+    near = F.explode(F.array(bucket - 1, bucket, bucket + 1))
+    now = written(edges.filter("from_account <> to_account"), "trimmed")
+    left = now.count()
+    for _ in range(rounds):
+        out_of = now.select("net", F.col("from_account").alias("to_account"), near.alias("bucket")).distinct()
+        into = now.select("net", F.col("to_account").alias("from_account"), near.alias("bucket")).distinct()
+        got = now.withColumn("bucket", bucket).join(out_of, ["net", "to_account", "bucket"], "left_semi").join(into, ["net", "from_account", "bucket"], "left_semi")
+        now = written(got.select(edges.columns), "trimmed")
+        before, left = left, now.count()
+        if left == before:
+            break
+    return now
+
+
 def round_trips(edges: DataFrame, max_nodes: int = 5, retention: float = 0.85, hours: float = 72) -> DataFrame:
     """Time-ordered cycles over 3..max_nodes accounts; one per set of accounts.
 
-    Among cycles of one account set the one with the smallest (start, edge ids) stays. Paths that
-    share nodes, first and last edge differ in nothing later hops look at, so one of them goes on.
+    Among cycles of one account set the one with the smallest (start, edge ids) stays.
+
+    A cycle is put together at its busiest account (the pivot) from a half that leaves it and a half that returns to it, and both halves
+    run over less busy accounts only. So no path ever leads through a hub: a hub is where halves begin and end, and
+    their number is bounded by the edges times the degrees of the accounts between. The cycle's first edge in time may lie
+    anywhere; a half that holds it past its own first edge is marked with its place (``mark``). Times are then rising from the mark to the
+    end of the cycle and on from the pivot to the mark. Halves meet on (pivot, middle account, time bucket).
     """
     span = int(hours * HOUR_US)
-    e = _scope(edges)
-    hop = _bucketed(e, span)
-    paths, closed = _first_edges(e), []
-    for n in range(2, max_nodes + 1):
-        got = (_in_buckets(paths, span).join(hop, ["net", "at", "bucket"])
-               .filter((F.col("e_us") >= F.col("last_us")) & (F.col("e_us") - F.col("first_us") <= span)))
-        closes = F.col("next") == F.col("nodes")[0]
-        keeps = F.col("e_amount") / F.greatest(F.lit(1.0), F.col("first_amount")) >= retention
-        grows = (F.lit(n < max_nodes) & ~F.array_contains("nodes", F.col("next")))
-        got = got.filter((closes & keeps & F.lit(n >= 3)) | grows)
-        step = got.select(
-            "net", F.col("next").alias("at"),
-            F.when(closes, F.col("nodes")).otherwise(F.array_append("nodes", F.col("next"))).alias("nodes"),
-            F.array_append("edge_ids", F.col("e_id")).alias("edge_ids"), "first_us", "first_amount",
-            F.col("e_us").alias("last_us"), F.col("e_amount").alias("last_amount"), "first_dt",
-            F.col("e_dt").alias("last_dt"), closes.alias("closed"))
-        if n >= 3:
-            step = _one_per(step, ["net", "nodes", "closed", F.col("edge_ids")[0].alias("e0"),
-                                   F.element_at("edge_ids", -1).alias("e1")])
-        step = written(step, "round-trip")
-        closed.append(step.filter("closed"))
-        paths = step.filter("NOT closed").drop("closed")
-    cycles = closed[1]
-    for part in closed[2:]:
-        cycles = cycles.unionByName(part)
-    best = F.min(F.struct("first_us", "edge_ids", "nodes", "first_dt", "last_dt", "first_amount", "last_amount")).alias("b")
+    e = trimmed(_scope(edges), span)
+    degree = e.select("net", F.explode(F.array("from_account", "to_account")).alias("account")).groupBy("net", "account").agg(F.count(F.lit(1)).alias("d"))
+    rank = F.struct("d", "account").alias("rank")
+    ranks = written(degree.select("net", "account", rank), "ranks")
+    e = (e.join(ranks.select("net", F.col("account").alias("from_account"), F.col("rank").alias("r_from")), ["net", "from_account"])
+         .join(ranks.select("net", F.col("account").alias("to_account"), F.col("rank").alias("r_to")), ["net", "to_account"]))
+    e = written(e.select("net", "from_account", "to_account", "id", "us", "amount", "r_from", "r_to"), "ranked")
+    kept = lambda last, first: last / F.greatest(F.lit(1.0), first) >= retention
+    one = [F.array("id").alias("ids"), F.array("us").alias("times"), F.array("amount").alias("amounts"), F.lit(0).alias("mark")]
+
+    def grown(halves: DataFrame, leaving: bool) -> DataFrame:
+        """One edge more at the far end; ``nodes`` are in path order, so a returning half grows at its front."""
+        here, there, r = ("from_account", "to_account", "r_to") if leaving else ("to_account", "from_account", "r_from")
+        b = F.expr(f"times[{'size(times) - 1' if leaving else '0'}] div {span}")
+        hop = e.select("net", F.col(here).alias("at"), F.expr(f"us div {span}").alias("bucket"), F.col(there).alias("next"), F.col(r).alias("r_next"), "id", "us", "amount")
+        got = (halves.withColumn("bucket", F.explode(F.array(b - 1, b, b + 1))).join(hop, ["net", "at", "bucket"])
+               .filter((F.col("r_next") < F.col("r_pivot")) & ~F.array_contains("nodes", F.col("next"))))
+        first, last, us = F.col("times")[0], F.element_at("times", -1), F.col("us")
+        if leaving:
+            rises = F.when(F.col("mark") == 0, (us >= last) & (us <= first + span)).otherwise((us >= last) & (us <= first))
+            starts = (F.col("mark") == 0) & (us <= first) & (us >= last - span) & kept(F.element_at("amounts", -1), F.col("amount"))
+            marks = (F.col("mark"), F.size("times"))
+        else:
+            rises = F.when(F.col("mark") == 0, (us <= first) & (us >= last - span)).otherwise((us <= first) & (us >= last))
+            starts = (F.col("mark") == 0) & (us >= last) & (us <= first + span) & kept(F.col("amount"), F.col("amounts")[0])
+            marks = (F.when(F.col("mark") > 0, F.col("mark") + 1).otherwise(0), F.lit(1))
+        add = (lambda c, x: F.array_append(c, F.col(x))) if leaving else (lambda c, x: F.array_prepend(c, F.col(x)))
+        got = got.withColumn("mark", F.explode(F.array_compact(F.array(F.when(rises, marks[0]), F.when(starts, marks[1])))))
+        return got.select("net", "pivot", "r_pivot", F.col("next").alias("at"), add("nodes", "next").alias("nodes"), add("ids", "id").alias("ids"),
+                          add("times", "us").alias("times"), add("amounts", "amount").alias("amounts"), "mark")
+
+    halves = {}
+    for leaving in (True, False):
+        pivot, other, r, r_other = ("from_account", "to_account", "r_from", "r_to") if leaving else ("to_account", "from_account", "r_to", "r_from")
+        now = e.filter(F.col(r_other) < F.col(r)).select("net", F.col(pivot).alias("pivot"), F.col(r).alias("r_pivot"), F.col(other).alias("at"),
+                                                         F.array("from_account", "to_account").alias("nodes"), *one)
+        halves[leaving, 1] = now
+        for n in range(2, (max_nodes + leaving) // 2 + 1):
+            now = grown(now, leaving)
+            if (n + 1 - leaving) * 2 <= max_nodes:          # read more than once
+                now = written(now, "half")
+            halves[leaving, n] = now
+
+    def met(k: int, j: int) -> DataFrame:
+        bucket = F.expr(f"times[0] div {span}")
+        a = halves[True, k].withColumn("bucket", bucket)
+        b = halves[False, j].withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+        b = b.select("net", "pivot", "at", "bucket", *[F.col(c).alias(f"b_{c}") for c in ("nodes", "ids", "times", "amounts", "mark")])
+        apart = ~F.arrays_overlap(F.slice("nodes", 2, k), F.slice("b_nodes", 2, j - 1)) if j > 1 else F.lit(True)
+        got = a.join(b, ["net", "pivot", "at", "bucket"]).filter(apart)
+        first, last, b_first, b_last = F.col("times")[0], F.element_at("times", -1), F.col("b_times")[0], F.element_at("b_times", -1)
+        plain = (F.col("mark") == 0) & (F.col("b_mark") == 0)
+        on, back = last <= b_first, b_last <= first
+        at_pivot = plain & on & (b_last - first <= span) & kept(F.element_at("b_amounts", -1), F.col("amounts")[0])
+        at_middle = plain & back & (last - b_first <= span) & kept(F.element_at("amounts", -1), F.col("b_amounts")[0])
+        inside = on & back & (F.col("mark") + F.col("b_mark") > 0) & (F.least("mark", "b_mark") == 0)
+        place = F.when(F.col("mark") > 0, F.col("mark")).otherwise(F.col("b_mark") + k)
+        start = F.explode(F.array_compact(F.array(F.when(at_pivot, F.lit(0)), F.when(at_middle, F.lit(k)), F.when(inside, place))))
+        turned = lambda x: F.concat(F.slice(x, F.col("start") + 1, F.lit(k + j) - F.col("start")), F.slice(x, F.lit(1), F.col("start")))
+        got = got.withColumn("start", start).select(
+            "net", turned(F.concat(F.slice("nodes", 1, k), F.slice("b_nodes", 1, j))).alias("nodes"), turned(F.concat("ids", "b_ids")).alias("edge_ids"),
+            turned(F.concat("times", "b_times")).alias("times"), turned(F.concat("amounts", "b_amounts")).alias("amounts"))
+        return got.select("net", "nodes", "edge_ids", F.col("times")[0].alias("first_us"), F.element_at("times", -1).alias("last_us"),
+                          F.col("amounts")[0].alias("first_amount"), F.element_at("amounts", -1).alias("last_amount"))
+
+    cycles = reduce(DataFrame.unionByName, [met((n + 1) // 2, n // 2) for n in range(3, max_nodes + 1)])
+    best = F.min(F.struct("first_us", "edge_ids", "nodes", "last_us", "first_amount", "last_amount")).alias("b")
     return (cycles.groupBy("net", F.array_sort("nodes").alias("node_set")).agg(best)
             .select("net", F.col("b.nodes").alias("nodes"), F.col("b.edge_ids").alias("edge_ids"),
-                    F.col("b.first_dt").alias("window_start"), F.col("b.last_dt").alias("window_end"),
+                    F.timestamp_micros("b.first_us").alias("window_start"), F.timestamp_micros("b.last_us").alias("window_end"),
                     (F.col("b.last_amount") / F.greatest(F.lit(1.0), F.col("b.first_amount"))).alias("retention")))
 
 
