@@ -1,123 +1,102 @@
-"""First-in-first-out pairing of opposite transactions of equal amount within 48 hours."""
+"""First-in-first-out pairing of opposite transactions of equal amount within 48 hours.
+
+The waiting rows of an (account, amount) group are always its newest rows of one direction, so the whole state is the signed queue
+length ``s`` (waiting debits above 0). A row first forgets what is too old, ``s <- clamp(s, -recent credits, +recent
+debits)``, then adds its own sign; it closes a pair if the queue it meets is of the other direction. Such clamp-and-shift steps
+compose into one of the same form, (shift, low, high), so pairing is a segmented scan: every group is cut into chunks of
+bounded size, chunks are folded by ``aggregate`` inside the JVM, and a chunk's starting state follows from the summaries of the
+chunks before it, which are chunked and folded in the same way, level by level. A group that fits one chunk starts at 0 and takes no part in the
+levels; that is decided group by group, and any chunk size gives the same pairs.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import CHUNK, Ordered
+from ..plans.ordering import Ordered
+from ..plans.storage import written
 
 PAIR_SECONDS = 172_800
-FOLD_ROWS = 2_000          # a group up to this size is folded as one array
+FOLD_ROWS = 256            # rows of a group that are folded as one array
 FOLD_ROWS_CONF = "cashtrail.maxRowsPerFold"
 KEYS = ["account_id", "amount"]
+FREE = 1 << 60             # a bound that never binds
+
+_COMPOSE = """named_struct('shift', a.shift + e.shift, 'low', greatest(e.low, least(e.high, a.low + e.shift)), 'high', greatest(e.low, least(e.high, a.high + e.shift)))"""
+SUMMARY = f"aggregate(h, named_struct('shift', 0L, 'low', -{FREE}L, 'high', {FREE}L), (a, e) -> {_COMPOSE})"
+NEXT = "greatest(e.low, least(e.high, a.s + e.shift))"       # state behind a step
 
 
-def reversal_pairs(ledger: DataFrame, within_seconds: int = PAIR_SECONDS) -> DataFrame:
+def reversal_pairs(ledger: DataFrame, within_seconds: int = PAIR_SECONDS, chunk_rows: int | None = None) -> DataFrame:
     """One row per pair: account_id, amount, id_1, dt_1, id_2, dt_2 (leg 2 closes the pair).
 
     Rows of one (account, amount) are read in (dt, id) order. A row closes the oldest waiting
     row of the other direction that is at most 48 h old; otherwise it waits itself.
     """
-    rows = ledger.select("account_id", F.round("amount", 2).alias("amount"), "dt", "id",
-                         (F.col("direction") == "debit").alias("is_debit"))
-    both = rows.groupBy(*KEYS).agg(F.count_if("is_debit").alias("d"), F.count(F.lit(1)).alias("n"))
-    largest = both.filter("d > 0 AND d < n").agg(F.max("n")).first()[0] or 0
-    limit = int(ledger.sparkSession.conf.get(FOLD_ROWS_CONF, str(FOLD_ROWS)))
-    if largest <= limit:
-        return _fold(rows, within_seconds)
-    return _by_queue_length(rows, within_seconds)
-
-
-def _fold(rows: DataFrame, within: int) -> DataFrame:
-    """Small groups: one ordered fold per group, state = (waiting rows, pairs so far)."""
-    groups = (
-        rows.groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list(F.struct("dt", "id", "is_debit"))).alias("h"),
-             F.count_if("is_debit").alias("d"), F.count(F.lit(1)).alias("n"))
-        .filter("d > 0 AND d < n")
-    )
-    step = f"""
-      named_struct('q', filter(s.q, w -> unix_micros(e.dt) - unix_micros(w.dt) <= {within}L * 1000000),
-                   'p', s.p)"""
-    fold = F.expr(f"""
-      aggregate(h,
-        named_struct('q', slice(h, 1, 0),
-                     'p', transform(slice(h, 1, 0), x -> struct(x.id AS id_1, x.dt AS dt_1, x.id AS id_2, x.dt AS dt_2))),
-        (s, e) -> transform(array({step}), t ->
-          CASE WHEN size(t.q) > 0 AND t.q[0].is_debit <> e.is_debit
-               THEN named_struct('q', slice(t.q, 2, size(t.q)),
-                                 'p', array_append(t.p, struct(t.q[0].id AS id_1, t.q[0].dt AS dt_1, e.id AS id_2, e.dt AS dt_2)))
-               ELSE named_struct('q', array_append(t.q, e), 'p', t.p) END)[0],
-        s -> s.p)""")
-    return groups.select(*KEYS, F.inline(fold))
-
-
-def _by_queue_length(rows: DataFrame, within: int) -> DataFrame:
-    """Groups of any size, without collecting one.
-
-    The waiting rows are always the newest ``|s|`` rows of one direction, so the whole state is
-    the signed queue length ``s`` (debits waiting > 0). A row first forgets what is too old,
-    ``s <- clamp(s, -recent credits, +recent debits)``, then adds its own sign. Such steps compose
-    into one step of the same form, so each chunk is summed up on its own, chunk states follow
-    from the few summaries, and a closing row finds its partner by ordinal with an equi-join.
-    """
-    rows = rows.withColumns({"us": F.unix_micros("dt"), "sign": F.when(F.col("is_debit"), 1).otherwise(-1)})
-    debit = F.when(F.col("is_debit"), 1).otherwise(0).cast("long")
-    credit = F.when(F.col("is_debit"), 0).otherwise(1).cast("long")
-    seq = (Ordered(rows, KEYS, ["us", "id"])
-           .trailing("us", within * 1_000_000, near_d=debit, near_c=credit)
-           .running(all_d=debit, all_c=credit))
-    own = seq.df.withColumns({
-        "near_d": F.col("near_d") - debit, "near_c": F.col("near_c") - credit,
-        "ordinal": F.when(F.col("is_debit"), F.col("all_d")).otherwise(F.col("all_c")),
-        "others": F.when(F.col("is_debit"), F.col("all_c")).otherwise(F.col("all_d")),
-    })
-    if not seq.chunked:
-        own = own.withColumn(CHUNK, F.lit(0))
-    part = KEYS + [CHUNK]
-    slim = own.select(*part, "us", "id", "dt", "sign", "near_d", "near_c", "ordinal", "others")
-
-    def chunk_step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        shift, low, high = 0, -(1 << 60), 1 << 60
-        for sign, d, c in zip(pdf["sign"].tolist(), pdf["near_d"].tolist(), pdf["near_c"].tolist()):
-            low, high = min(max(low, -c), d) + sign, min(max(high, -c), d) + sign
-            shift += sign
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["account_id"], first["amount"], first[CHUNK], shift, low, high)],
-                            columns=part + ["shift", "low", "high"])
-
-    def chunk_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        s, starts = 0, []
-        for shift, low, high in zip(pdf["shift"].tolist(), pdf["low"].tolist(), pdf["high"].tolist()):
-            starts.append(s)
-            s = min(max(s + shift, low), high)
-        return pdf.assign(start=starts)[part + ["start"]]
-
-    def queue_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        s, seen = int(pdf["start"].iloc[0]), []
-        for sign, d, c in zip(pdf["sign"].tolist(), pdf["near_d"].tolist(), pdf["near_c"].tolist()):
-            s = min(max(s, -c), d)
-            seen.append(s)
-            s += sign
-        return pdf.assign(waiting=seen).drop(columns="start")
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*part).schema)
-    steps = slim.groupBy(*part).applyInPandas(chunk_step, f"{types}, shift long, low long, high long")
-    starts = steps.groupBy(*KEYS).applyInPandas(chunk_starts, f"{types}, start long")
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    known = (slim.join(starts, part).groupBy(*part)
-             .applyInPandas(queue_lengths, f"{full}, waiting long"))
-    closing = known.filter(F.col("waiting") * F.col("sign") < 0).select(
-        *KEYS, F.col("id").alias("id_2"), F.col("dt").alias("dt_2"), (-F.col("sign")).alias("sign"),
-        (F.col("others") - F.abs("waiting") + 1).alias("ordinal"))
-    opening = slim.select(*KEYS, "sign", "ordinal", F.col("id").alias("id_1"), F.col("dt").alias("dt_1"))
-    return (closing.join(opening, KEYS + ["sign", "ordinal"])
-            .select(*KEYS, "id_1", "dt_1", "id_2", "dt_2"))
+    chunk_rows = chunk_rows or int(ledger.sparkSession.conf.get(FOLD_ROWS_CONF, str(FOLD_ROWS)))
+    rows = ledger.select("account_id", F.round("amount", 2).alias("amount"), F.unix_micros("dt").alias("us"), "id", "dt",
+                         F.when(F.col("direction") == "debit", 1).otherwise(-1).cast("long").alias("sign"))
+    both = rows.groupBy(*KEYS).agg(F.count_if(F.col("sign") > 0).alias("d"), F.count(F.lit(1)).alias("n")).filter("d > 0 AND d < n")
+    size = both.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    largest, total = int(size.largest or 0), int(size.total or 0)
+    rows = rows.join(both.select(*KEYS, (F.col("n") > chunk_rows).alias("long")), KEYS)         # a group of one direction pairs nothing
+    chunks = _chunks(rows, within_seconds, chunk_rows, (largest, total))
+    if largest > chunk_rows:                                # else there is no chunk with one before it
+        chunks = written(chunks, "chunks")
+        steps = chunks.filter("long").select(*KEYS, "chunk", F.expr(SUMMARY).alias("s")).select(*KEYS, "chunk", "s.*")
+        starts = _starts(steps, chunk_rows, -(-largest // chunk_rows))
+        chunks = chunks.join(starts, [*KEYS, "chunk"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
+    else:
+        chunks = chunks.withColumn("start", F.lit(0).cast("long"))
+    closing = chunks.select(*KEYS, "long", "h", F.explode(F.expr(_CLOSERS)).alias("c"))
+    near = closing.select(*KEYS, "long", "c.*", F.expr("get(filter(h, x -> x.shift = c.sign AND x.ordinal = c.ordinal), 0)").alias("o"))
+    pair = [*KEYS, F.col("o.id").alias("id_1"), F.col("o.dt").alias("dt_1"), "id_2", "dt_2"]
+    if largest <= chunk_rows:
+        return near.select(*pair)
+    near = written(near, "closing")
+    openers = chunks.filter("long").select(*KEYS, F.explode("h").alias("o")).select(*KEYS, F.col("o.shift").alias("sign"), F.col("o.ordinal").alias("ordinal"), "o")
+    far = near.filter("o IS NULL").drop("o").join(openers, [*KEYS, "sign", "ordinal"])           # partner in an earlier chunk
+    return near.filter("o IS NOT NULL").select(*pair).unionByName(far.select(*pair))
+
+
+_CLOSERS = f"""aggregate(h,
+  named_struct('s', start, 'c', transform(slice(h, 1, 0), e -> named_struct('id_2', e.id, 'dt_2', e.dt, 'sign', e.shift, 'ordinal', e.ordinal))),
+  (a, e) -> named_struct('s', {NEXT}, 'c', CASE WHEN ({NEXT} - e.shift) * e.shift < 0
+     THEN array_append(a.c, named_struct('id_2', e.id, 'dt_2', e.dt, 'sign', -e.shift, 'ordinal', e.others - abs({NEXT} - e.shift) + 1))
+     ELSE a.c END),
+  a -> a.c)"""
+
+
+def _chunks(rows: DataFrame, within: int, chunk_rows: int, sizes: tuple[int, int]) -> DataFrame:
+    """KEYS, long, chunk, h: up to ``chunk_rows`` rows in order, as steps with the row's place among its direction (``ordinal``) and
+    the number of rows of the other direction before it (``others``)."""
+    debit = (F.col("sign") > 0).cast("long")
+    credit = (F.col("sign") < 0).cast("long")
+    seq = (Ordered(rows, KEYS, ["us", "id"], sizes).trailing("us", within * 1_000_000, near_d=debit, near_c=credit)
+           .running(all_d=debit, all_c=credit).plain())
+    own = F.col("sign") > 0
+    step = F.struct("us", "id", "dt", F.col("sign").alias("shift"), (F.col("sign") - (F.col("near_c") - credit)).alias("low"),
+                    (F.col("sign") + F.col("near_d") - debit).alias("high"), F.when(own, F.col("all_d")).otherwise(F.col("all_c")).alias("ordinal"),
+                    F.when(own, F.col("all_c")).otherwise(F.col("all_d")).alias("others"))
+    place = F.col("all_d") + F.col("all_c") - 1
+    return seq.select(*KEYS, "long", F.floor(place / chunk_rows).alias("chunk"), step.alias("step")).groupBy(*KEYS, "long", "chunk").agg(
+        F.array_sort(F.collect_list("step")).alias("h"))
+
+
+def _starts(steps: DataFrame, chunk_rows: int, most: int) -> DataFrame:
+    """KEYS, chunk, start for steps (KEYS, chunk, shift, low, high); ``most``: chunks of the longest group."""
+    over = steps.select(*KEYS, F.floor(F.col("chunk") / chunk_rows).alias("up"), F.struct("chunk", "shift", "low", "high").alias("step")).groupBy(
+        *KEYS, "up").agg(F.array_sort(F.collect_list("step")).alias("h"))
+    if most > chunk_rows:
+        over = written(over, "level")
+        above = over.select(*KEYS, F.col("up").alias("chunk"), F.expr(SUMMARY).alias("s")).select(*KEYS, "chunk", "s.*")
+        over = over.join(_starts(above, chunk_rows, -(-most // chunk_rows)).withColumnRenamed("chunk", "up"), [*KEYS, "up"])
+    else:
+        over = over.withColumn("start", F.lit(0).cast("long"))
+    scan = f"""aggregate(h, named_struct('s', start, 'c', transform(slice(h, 1, 0), e -> named_struct('chunk', e.chunk, 'start', e.shift))),
+      (a, e) -> named_struct('s', {NEXT}, 'c', array_append(a.c, named_struct('chunk', e.chunk, 'start', a.s))), a -> a.c)"""
+    return over.select(*KEYS, F.inline(F.expr(scan)))
 
 
 def pair_weeks(pairs: DataFrame, min_pairs: int = 3, evidence_pairs: int = 4,
