@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
@@ -151,16 +151,16 @@ def pair_up(rows: DataFrame, kind: str, threshold: float = THRESHOLD, window: in
     return found.filter(F.col("side") == LINK).select("a", "b").unionByName(crossing).distinct()
 
 
-def _unit(v: Column) -> Column:
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / length)
-
-
 def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(uid, n_links) over all pairs within each component of ``members`` (component, uid, v: array of doubles of one length)."""
-    members = members.withColumn("v", _unit(F.col("v")))
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = units(np.array(batch.column("v").to_pylist(), np.float64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("uid"), lists], ["component", "uid", "v"])
+
+    members = members.mapInArrow(scaled, "component long, uid long, v array<double>")       # here, so that only linked vectors are scaled
     mean = members.groupBy("component").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean"))
     off = F.aggregate(F.zip_with("v", "mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.sqrt(
         F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x))
