@@ -1,5 +1,8 @@
-"""Model queries: J4-J8, J15-J22, J24, J25, K3, C9. Fits are not comparable value by value, so only the
-parts around them have SQL twins."""
+"""Model queries: J4-J8, J15-J22, J24, J25, K3, C9.
+
+Fits run at the operators' defaults. They are not comparable value by value, so the twins check what does not hang on the fit: classes and
+hull of oversampled rows, fold sizes, row sets, sums of attributions.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.values import MONEY_FEATURES
+from ..operators import attribution as A
 from ..operators import conformal as CF
 from ..operators import drift as DR
 from ..operators import explain as E
@@ -14,12 +18,13 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import typology as N
+from ..plans.storage import written
+from ..sources import cards as CS
 from ..sources import tables as T
 from ..sources.cards import CARD_FEATURES
-from .base import CARDS_SQL, LEDGER_SQL, MONEY_SQL, joined, out, query, with_
+from .base import CARDS_SQL, LEDGER_SQL, MONEY_SQL, SIM_SQL, joined, out, query, with_
 from .network import cases as typology_cases
 
-SMALL_TREES = dict(trees=10, depth=5)       # size of the trees in these queries; operator defaults are larger
 THRESHOLD = 0.5
 
 
@@ -56,8 +61,9 @@ def logistic_model(spark, sf):
 def money_models(spark, sf):
     def make():
         train = M.class_weights(M.step_split(money(spark, sf)).filter("split = 'train'"), "label")
-        return (ML.boosted_trees(MONEY_FEATURES, "label", **SMALL_TREES, weight="weight").fit(train),
-                ML.random_forest(MONEY_FEATURES, "label", **SMALL_TREES, weight="weight").fit(train))
+        train = written(train.select("id", "label", "weight", *MONEY_FEATURES), "train")
+        return tuple(ML.together([lambda: ML.boosted_trees(MONEY_FEATURES, "label", weight="weight").fit(train),
+                                  lambda: ML.random_forest(MONEY_FEATURES, "label", weight="weight").fit(train)]))
     return _once(spark, sf, "money", make)
 
 
@@ -66,18 +72,48 @@ def money_calibration(spark, sf):
     return CF.single_calibration(ML.score_with(forest, M.step_split(money(spark, sf)).filter("split = 'test'")))
 
 
-@query("J4")
+CARD_SPLIT_SQL = with_(CARDS_SQL) + """, ordered AS (SELECT *, CAST("Class" AS BIGINT) AS label, row_number() OVER (ORDER BY "Time", CAST(round("Time" * 1000000) AS BIGINT)) AS pos, count(*) OVER () AS total FROM cards),
+split AS (SELECT *, CASE WHEN pos <= CAST(floor(total * 0.8E0) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ordered)
+"""
+OVERSAMPLED = 0.5       # positives to negatives; the classes of the test cards are nearer to each other than the default ratio
+
+
+@query("J4", CARD_SPLIT_SQL + f""", n AS (SELECT count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM split WHERE split = 'train')
+SELECT label, CASE WHEN label = 1 THEN greatest(any_value(n.pos), CAST(floor(any_value(n.neg) * {OVERSAMPLED}E0) AS BIGINT)) ELSE any_value(n.neg) END AS n,
+ round(min("V14"), 4) AS v14_min, round(max("V14"), 4) AS v14_max, round(min("Amount"), 4) AS amount_min, round(max("Amount"), 4) AS amount_max FROM split, n WHERE split = 'train' GROUP BY label""")
 def j4(spark, sf):
-    train, _ = card_split(spark, sf)
-    rare = train.filter("label = 0 OR V3 > 0.45")            # leaves few positives, so rows are made
-    return ML.smote(rare, "label", "id", CARD_FEATURES).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("V14"), 4).alias("v14_min"), F.round(F.max("V14"), 4).alias("v14_max"))
+    made = ML.smote(card_split(spark, sf)[0], "label", "id", CARD_FEATURES, ratio=OVERSAMPLED)
+    edges = [f(c) for c in ("V14", "Amount") for f in (F.min, F.max)]
+    return made.groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), *[
+        F.round(e, 4).alias(n) for e, n in zip(edges, ("v14_min", "v14_max", "amount_min", "amount_max"), strict=True)])
+
+
+def card_folds(spark, sf):
+    """Scores of five folds; each fold's boosted trees see oversampled rows of the other four."""
+    resample = lambda train: ML.smote(train, "label", "id", CARD_FEATURES, ratio=OVERSAMPLED)
+    return _once(spark, sf, "folds", lambda: written(
+        ML.out_of_fold(card_split(spark, sf)[0], "label", "id", ML.boosted_trees(CARD_FEATURES, "label"), resample=resample), "scores"))
 
 
 @query("J5")
 def j5(spark, sf):
-    train, _ = card_split(spark, sf)
-    return ML.out_of_fold(train, "label", "id", ML.logistic(CARD_FEATURES, "label", iterations=20))
+    return card_folds(spark, sf)
+
+
+@query("J5_folds", CARD_SPLIT_SQL + """, f AS (SELECT label, (row_number() OVER (PARTITION BY label) - 1) % 5 AS fold FROM split WHERE split = 'train')
+SELECT CAST(fold AS INTEGER) AS fold, label, count(*) AS n, count(*) AS n_scored FROM f GROUP BY ALL""")
+def j5_folds(spark, sf):
+    return card_folds(spark, sf).groupBy("fold", F.col("label").cast("long").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("score") >= 0) & (F.col("score") <= 1)).alias("n_scored"))
+
+
+@query("J5_threshold")
+def j5_threshold(spark, sf):
+    """The threshold that the out-of-fold scores calibrate, and the held-out rows at it."""
+    threshold = M.best_threshold(card_folds(spark, sf)).first().threshold
+    train, test = card_split(spark, sf)
+    model = ML.boosted_trees(CARD_FEATURES, "label").fit(written(ML.smote(train, "label", "id", CARD_FEATURES, ratio=OVERSAMPLED), "train"))
+    return ML.evaluate(ML.score_with(model, test), "label", threshold)
 
 
 @query("J6")
@@ -103,24 +139,68 @@ def j15(spark, sf):
     return ML.ensemble(rows, *money_models(spark, sf)).select("id", "account_id", "risk_score_lgb", "risk_score_rf", "risk_score", "flagged")
 
 
-CARD_MODELS = {"logistic": lambda f, l, weight=None: ML.logistic(f, l, 20, weight),
-               "boosted_trees": lambda f, l, weight=None: ML.boosted_trees(f, l, 5, 3, weight=weight)}
+CARD_MODELS = {"logistic": lambda f, l, weight=None: ML.logistic(f, l, weight=weight), "boosted_trees": lambda f, l, weight=None: ML.boosted_trees(f, l, weight=weight),
+               "leafy_trees": lambda f, l, weight=None: ML.leafy_trees(f, l, weight=weight)}
+
+
+def card_benchmark(spark, sf):
+    return _once(spark, sf, "benchmark", lambda: ML.with_winners(ML.benchmark(*card_split(spark, sf), "label", "id", CARD_FEATURES, CARD_MODELS, ["weights", "smote"])))
 
 
 @query("J16")
 def j16(spark, sf):
-    train, test = card_split(spark, sf)
-    return ML.benchmark(train, test, "label", "id", CARD_FEATURES, CARD_MODELS, ["weights", "smote"])
+    return card_benchmark(spark, sf)
+
+
+@query("J16_rows", CARD_SPLIT_SQL + """, m AS (SELECT unnest(['logistic', 'boosted_trees', 'leafy_trees']) AS model), s AS (SELECT unnest(['weights', 'smote']) AS strategy)
+SELECT model, strategy, count(*) AS n_test, count(*) FILTER (label = 1) AS n_positive FROM split, m, s WHERE split = 'test' GROUP BY ALL""")
+def j16_rows(spark, sf):
+    return card_benchmark(spark, sf).select("model", "strategy", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_test"), (F.col("tp") + F.col("fn")).alias("n_positive"))
+
+
+SIM_FEATURES = ["amount", "haversine_distance", "hour_of_day", "is_night", "age_at_transaction", "velocity_1h", "velocity_24h", "amount_to_user_mean_ratio", "city_pop"]
+MATRIX_MODELS = {"random_forest": lambda f, l, weight=None: ML.random_forest(f, l, weight=weight),
+                 "boosted_trees": lambda f, l, weight=None: ML.boosted_trees(f, l, 150, 5, 0.05, 1.0, weight=weight)}
+
+
+def simulated_cards(spark, sf):
+    rows = X.card_features(CS.normalise_card_sim(T.raw_card_sim(spark, sf)))
+    return M.chronological_split(rows.withColumns({"label": F.col("is_fraud").cast("int"), "id": F.col("transaction_id")}).select(
+        "id", "label", "timestamp", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in SIM_FEATURES]), ["timestamp", "id"])
+
+
+def matrix(spark, sf):
+    def make():
+        sim, m = written(simulated_cards(spark, sf), "sim"), written(M.step_split(money(spark, sf)), "money")
+        legs = {"creditcard": (*card_split(spark, sf), CARD_FEATURES),
+                "simulated_card": (sim.filter("split = 'train'"), sim.filter("split = 'test'"), SIM_FEATURES),
+                "mobile_money": (m.filter("split = 'train'"), m.filter("split = 'test'"), MONEY_FEATURES)}
+        rows = None
+        for dataset, (train, test, features) in legs.items():
+            n = train.agg(F.count(F.lit(1)).alias("train_records"), F.count_if(F.col("label") == 1).alias("train_frauds"))
+            got = ML.benchmark(train, test, "label", "id", features, MATRIX_MODELS, ["smote"]).withColumn("dataset", F.lit(dataset)).join(F.broadcast(n), F.lit(True))
+            rows = got if rows is None else rows.unionByName(got)
+        return written(rows, "matrix")
+    return _once(spark, sf, "matrix", make)
 
 
 @query("J17")
 def j17(spark, sf):
-    train, test = card_split(spark, sf)
-    small = {"random_forest": lambda f, l, weight=None: ML.random_forest(f, l, 5, 4, weight)}
-    m = M.step_split(money(spark, sf))
-    one = ML.benchmark(train, test, "label", "id", CARD_FEATURES, small, ["none"]).withColumn("dataset", F.lit("creditcard"))
-    two = ML.benchmark(m.filter("split = 'train'"), m.filter("split = 'test'"), "label", "id", MONEY_FEATURES, small, ["none"]).withColumn("dataset", F.lit("mobile_money"))
-    return one.unionByName(two)
+    return matrix(spark, sf)
+
+
+MATRIX_SQL = CARD_SPLIT_SQL + f""", {SIM_SQL}, {MONEY_SQL}, so AS (SELECT *, row_number() OVER (ORDER BY moment, trans_num) AS pos, count(*) OVER () AS total FROM sim),
+mq AS (SELECT *, step <= (SELECT floor(quantile_cont(step, 0.8)) FROM money) AS trains FROM money),
+d AS (SELECT 'creditcard' AS dataset, split = 'train' AS trains, label FROM split UNION ALL SELECT 'simulated_card', pos <= CAST(floor(total * 0.8E0) AS BIGINT), is_fraud FROM so
+ UNION ALL SELECT 'mobile_money', trains, "isFraud" FROM mq), m AS (SELECT unnest(['random_forest', 'boosted_trees']) AS model)
+SELECT dataset, model, count(*) FILTER (trains) AS train_records, count(*) FILTER (trains AND label = 1) AS train_frauds,
+ count(*) FILTER (NOT trains) AS test_records, count(*) FILTER (NOT trains AND label = 1) AS test_frauds FROM d, m GROUP BY ALL"""
+
+
+@query("J17_rows", MATRIX_SQL)
+def j17_rows(spark, sf):
+    return matrix(spark, sf).select("dataset", "model", "train_records", "train_frauds", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("test_records"),
+                                    (F.col("tp") + F.col("fn")).alias("test_frauds"))
 
 
 @query("J18")
@@ -128,12 +208,38 @@ def j18(spark, sf):
     return E.attribute_logistic(card_split(spark, sf)[1], ["id"], logistic_model(spark, sf), CARD_FEATURES)
 
 
+MONEY_TEST_SQL = with_(MONEY_SQL) + """, t AS (SELECT *, concat_ws('/', "nameOrig", "nameDest") AS id FROM money WHERE step > (SELECT floor(quantile_cont(step, 0.8)) FROM money))
+"""
+
+
+def money_test(spark, sf):
+    return M.step_split(money(spark, sf)).filter("split = 'test'")
+
+
 @query("J18_trees")
 def j18_trees(spark, sf):
-    _, forest = money_models(spark, sf)
-    rows = M.step_split(money(spark, sf)).filter("split = 'test'")
-    means = rows.agg(*[F.avg(f).alias(f) for f in MONEY_FEATURES]).first().asDict()
-    return E.attribute_trees(rows, ["id"], forest, MONEY_FEATURES, means, top_n=3)
+    return A.attribute_trees(money_test(spark, sf), ["id"], money_models(spark, sf)[1], MONEY_FEATURES, top_n=3)
+
+
+@query("J18_sums", MONEY_TEST_SQL + """SELECT id, m.model, true AS adds_up, true AS is_score FROM t, (SELECT unnest(['forest', 'boosted']) AS model) m""")
+def j18_sums(spark, sf):
+    """Do base and contributions add up to the ensemble's sum, and is that the model's own score?"""
+    rows, rounds = money_test(spark, sf), None
+    for model, name in zip(money_models(spark, sf), ("boosted", "forest"), strict=True):
+        scored = ML.score_with(model, rows.select("id", *MONEY_FEATURES))
+        got = A.tree_contributions(scored, ["id", "score"], model, MONEY_FEATURES)
+        total = F.aggregate("contributions", F.col("base"), lambda s, x: s + x)
+        link = F.col("total") if name == "forest" else 1 / (1 + F.exp(-2 * F.col("total")))
+        got = got.select("id", F.lit(name).alias("model"), (F.abs(total - F.col("total")) < 1e-9).alias("adds_up"), (F.abs(link - F.col("score")) < 1e-9).alias("is_score"))
+        rounds = got if rounds is None else rounds.unionByName(got)
+    return rounds
+
+
+@query("J18_record")
+def j18_record(spark, sf):
+    """One explanation record per held-out row: score, verdict, factors, interval."""
+    got = A.explanation(money_test(spark, sf), ["id"], money_models(spark, sf)[1], MONEY_FEATURES, THRESHOLD, money_calibration(spark, sf), top_n=5)
+    return got.withColumn("top_factors", F.to_json("top_factors"))
 
 
 def _overrides(rows):

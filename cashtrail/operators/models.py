@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordering import Ordered
 from ..plans.storage import written
 from .metrics import average_precision, best_threshold, class_weights, confusion_at, roc_auc, stratified_folds
+from .neighbours import nearest_rows
 
 SEED = 42
+PARALLEL = 4            # fits that run side by side; their jobs share the cluster
+
+
+def together(jobs: list[Callable]) -> list:
+    """Results of the jobs, run side by side on the driver's threads; the work itself is Spark's."""
+    with ThreadPool(max(1, min(PARALLEL, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs, chunksize=1)
 
 
 # -- estimators --------------------------------------------------------------------------
@@ -39,6 +48,11 @@ def logistic(features: list[str], label: str, iterations: int = 100, weight: str
                             est.setWeightCol(weight) if weight else est])
 
 
+def leafy_trees(features: list[str], label: str, trees: int = 250, weight: str | None = None) -> Pipeline:
+    """Boosted trees of about 31 leaves with a small step: the third model family."""
+    return boosted_trees(features, label, trees, 5, 0.03, weight=weight)
+
+
 def score_with(model, rows: DataFrame, name: str = "score") -> DataFrame:
     """Probability of the positive class; the model's own columns are dropped."""
     had = rows.columns
@@ -46,39 +60,6 @@ def score_with(model, rows: DataFrame, name: str = "score") -> DataFrame:
 
 
 # -- oversampling ------------------------------------------------------------------------
-def nearest_minority(minority: DataFrame, key: str, features: list[str], k: int, n_rows: int, block_rows: int = 2_000) -> DataFrame:
-    """(key, neighbour, n): the k nearest other rows, exact, ties by key.
-
-    Rows are hashed into blocks; every pair of blocks is one small matrix product in a task of its
-    own that returns k candidates per row, so pairs of rows never become rows.
-    """
-    blocks = max(1, math.ceil(n_rows / block_rows))
-    rows = minority.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
-                           F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = rows.select(F.col("own").alias("a"), other.alias("b"), key, "x")
-    gives = rows.select(other.alias("a"), F.col("own").alias("b"), key, "x")
-    kind = minority.schema[key].dataType.simpleString()
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "neighbour": [], "d": []})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values(key)
-        p, q = np.array(left["x"].tolist()), np.array(right["x"].tolist())
-        d = ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) if p.size * len(q) < 2e7 else (
-            (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T)
-        d[left[key].to_numpy()[:, None] == right[key].to_numpy()[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(p)), best.shape[1])
-        got = pd.DataFrame({key: left[key].to_numpy()[i], "neighbour": right[key].to_numpy()[best.ravel()], "d": d[i, best.ravel()]})
-        return got[np.isfinite(got["d"])]
-
-    found = asks.groupBy("a", "b").cogroup(gives.groupBy("a", "b")).applyInPandas(nearest, f"`{key}` {kind}, neighbour {kind}, d double")
-    w = Window.partitionBy(key).orderBy("d", "neighbour")
-    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select(key, "neighbour", "n")
-
-
 def smote(rows: DataFrame, label: str, key: str, features: list[str], ratio: float = 0.05, k: int = 5, min_positive: int = 6,
           seed: int = SEED) -> DataFrame:
     """Rows plus synthetic positives until positives are ``ratio`` of the negatives.
@@ -101,7 +82,7 @@ def smote(rows: DataFrame, label: str, key: str, features: list[str], ratio: flo
     seeds = hashed.withColumn("c", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop("more", "h", "place")
     pick = (F.pmod(F.xxhash64(F.col(key), F.col("c"), F.lit(seed + 1)), F.lit(k)) + 1).cast("int")
     share = F.pmod(F.xxhash64(F.col(key), F.col("c"), F.lit(seed + 2)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    near = nearest_minority(minority, key, features, k, n.pos)
+    near = nearest_rows(minority, key, features, k, n.pos)
     ends = minority.select(F.col(key).alias("neighbour"), *[F.col(f).alias(f"_to_{f}") for f in features])
     made = (seeds.withColumn("n", pick).withColumn("share", share).join(near, [key, "n"]).join(ends, "neighbour")
             .select(key, *[(F.col(f) + F.col("share") * (F.col(f"_to_{f}") - F.col(f))).alias(f) for f in features],
@@ -109,16 +90,16 @@ def smote(rows: DataFrame, label: str, key: str, features: list[str], ratio: flo
     return base.unionByName(made)
 
 
-def out_of_fold(rows: DataFrame, label: str, key: str, estimator, folds: int = 5, resample=None) -> DataFrame:
+def out_of_fold(rows: DataFrame, label: str, key: str, estimator, folds: int = 5, resample: Callable | None = None) -> DataFrame:
     """Scores of each fold from the model of the other folds; ``resample`` acts on training rows only."""
     parts = written(stratified_folds(rows, label, key, folds), "folds")
-    scored = None
-    for i in range(folds):
+
+    def scored(i: int) -> DataFrame:
         train = parts.filter(F.col("fold") != i).drop("fold")
         model = estimator.fit(resample(train) if resample else train)
-        got = score_with(model, parts.filter(F.col("fold") == i)).select(key, label, "fold", "score")
-        scored = got if scored is None else scored.unionByName(got)
-    return scored
+        return score_with(model, parts.filter(F.col("fold") == i)).select(key, label, "fold", "score")
+
+    return reduce(DataFrame.unionByName, together([lambda i=i: scored(i) for i in range(folds)]))
 
 
 def ensemble(rows: DataFrame, boosted, forest, weight: float = 0.6, tau_lgb: float = 0.5, tau_rf: float = 0.5) -> DataFrame:
@@ -146,15 +127,16 @@ def benchmark(train: DataFrame, test: DataFrame, label: str, key: str, features:
     ``models`` maps a name to ``f(features, label, weight=...) -> estimator``. Each fit runs on the
     cluster; only the handful of metric rows is put together here.
     """
-    rows = None
-    for strategy in strategies:
-        data = {"weights": lambda: class_weights(train, label), "smote": lambda: smote(train, label, key, features), "none": lambda: train}[strategy]()
-        data = written(data, "train")
-        for name, make in models.items():
-            model = make(features, label, weight="weight" if strategy == "weights" else None).fit(data)
-            got = evaluate(score_with(model, test), label).select(F.lit(name).alias("model"), F.lit(strategy).alias("strategy"), "*")
-            rows = got if rows is None else rows.unionByName(got)
-    return rows
+    make = {"weights": lambda: class_weights(train, label), "smote": lambda: smote(train, label, key, features), "none": lambda: train}
+    data = {s: written(make[s](), "train") for s in strategies}
+    test = written(test.select(key, label, *features), "test")
+
+    def measured(strategy: str, name: str) -> DataFrame:
+        model = models[name](features, label, weight="weight" if strategy == "weights" else None).fit(data[strategy])
+        return evaluate(score_with(model, test), label).select(F.lit(name).alias("model"), F.lit(strategy).alias("strategy"), "*")
+
+    rows = together([lambda s=s, n=n: written(measured(s, n), "metrics") for s in strategies for n in models])
+    return reduce(DataFrame.unionByName, rows)
 
 
 def winner(metrics: DataFrame, by: str = "average_precision") -> DataFrame:
@@ -163,6 +145,14 @@ def winner(metrics: DataFrame, by: str = "average_precision") -> DataFrame:
     return metrics.agg(F.max_by(F.struct("*"), rank).alias("w")).select("w.*")
 
 
+def with_winners(metrics: DataFrame) -> DataFrame:
+    """The metric rows, with marks on the best one by average precision and by F1 at its threshold."""
+    for by in ("average_precision", "f1"):
+        best = winner(metrics, by).select("model", "strategy", F.lit(True).alias(f"wins_by_{by}"))      # one row
+        metrics = metrics.join(F.broadcast(best), ["model", "strategy"], "left").fillna(False, [f"wins_by_{by}"])
+    return metrics
+
+
 def report(parts: dict[str, DataFrame], skipped: dict[str, str] | None = None) -> DataFrame:
     """Evaluator rows with different columns as one table; evaluators that did not run keep a reason."""
     rows = None

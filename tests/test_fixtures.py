@@ -247,7 +247,7 @@ def test_nearest_minority_against_brute_force(spark):
     pts = rng.normal(size=(60, 3))
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, a double, b double, c double")
     got = {}
-    for r in ML.nearest_minority(df, "id", ["a", "b", "c"], 4, 60, block_rows=13).collect():
+    for r in ML.nearest_rows(df, "id", ["a", "b", "c"], 4, 60, max_pivots=13).collect():
         got.setdefault(r.id, []).append((r.n, r.neighbour))
     for i, p in enumerate(pts):
         d = ((pts - p) ** 2).sum(1)
