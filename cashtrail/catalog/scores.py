@@ -166,26 +166,35 @@ own_cdf AS (SELECT v.win, v.v, coalesce(sum(o.c) FILTER (o.score <= v.v), 0) / s
 ks AS (SELECT win, max(abs(o.f - r.f)) AS d FROM own_cdf o JOIN ref_cdf r USING (v) GROUP BY win)"""
 TAIL = """list_sum(list_transform(range(1, CAST(n // k AS BIGINT) + 1), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0E0 ELSE -2.0E0 END)
  * exp(list_sum(list_transform(range(1, CAST(j * k AS BIGINT) + 1), lambda i: ln((n - i + 1) / (n + i)))))))"""
-SERIES = "list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0E0 ELSE -2.0E0 END) * exp(-2.0E0 * j * j * d * d * n * m / (n + m))))"
+# the chance to have left the band, diagonal by diagonal: w[i + 1] belongs to the point (i, s - i)
+PATHS = """sizes AS (SELECT win, least(n, m) AS a, greatest(n, m) AS b, CAST(round(d * lcm(n, m)) AS BIGINT) * gcd(n, m) AS h FROM p),
+walk(win, s, w) USING KEY (win) AS (
+  SELECT win, CAST(0 AS BIGINT), list_transform(range(0, a + 1), lambda i: CASE WHEN i = 0 THEN 0.0E0 ELSE 1.0E0 END) FROM sizes
+  UNION SELECT walk.win, s + 1, list_transform(range(0, a + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > b OR abs(i * b - (s + 1 - i) * a) >= h THEN 1.0E0
+     ELSE CASE WHEN i = 0 THEN 0.0E0 ELSE i / (s + 1) * w[i] END + (s + 1 - i) / (s + 1) * w[i + 1] END)
+  FROM walk JOIN sizes USING (win) WHERE s < a + b),
+tails AS (SELECT win, w[a + 1] AS tail FROM walk JOIN sizes USING (win))"""
 
 
-@query("K1", with_(SCORED_SQL) + f""", rows_ AS (SELECT *, pos < {W} AS is_ref, CASE WHEN pos >= {W} THEN (pos - {W}) // {W} END AS win FROM
+@query("K1", with_(SCORED_SQL, recursive=True).rstrip() + f""", rows_ AS (SELECT *, pos < {W} AS is_ref, CASE WHEN pos >= {W} THEN (pos - {W}) // {W} END AS win FROM
  (SELECT *, row_number() OVER (ORDER BY dt, id) - 1 AS pos FROM scored)), {KS},
 info AS (SELECT win, min(dt) AS window_start, max(dt) AS window_end, count(*) AS n, avg(score) AS current_mean FROM rows_ WHERE NOT is_ref GROUP BY ALL HAVING count(*) >= 10),
 p AS (SELECT *, CAST(round(n * d) AS BIGINT) AS k, {W} AS m FROM ks JOIN info USING (win)),
-q AS (SELECT *, greatest(0.0E0, least(1.0E0, CASE WHEN k = 0 THEN 1.0E0 WHEN n = m THEN {TAIL} ELSE {SERIES} END)) AS pv FROM p)
+{PATHS},
+q AS (SELECT *, greatest(0.0E0, least(1.0E0, CASE WHEN k = 0 THEN 1.0E0 WHEN n = m THEN {TAIL} ELSE tail END)) AS pv FROM p JOIN tails USING (win))
 SELECT win AS window_index, window_start, window_end, n AS n_samples, round(d, 6) AS ks_statistic, round(pv, 6) AS p_value, pv < 0.05 AS drift_fired, 0.05E0 AS alpha,
  round((SELECT avg(score) FROM rows_ WHERE is_ref), 6) AS reference_mean, round(current_mean, 6) AS current_mean FROM q""")
 def k1(spark, sf):
     return out(DR.ks_drift(T.scored(spark, sf), ["dt", "id"], W))
 
 
-@query("K2", with_(LEDGER_SQL) + f""", keyed AS (SELECT strftime(dt, '%Y-%m') AS win, risk_score AS score FROM ledger),
+@query("K2", with_(LEDGER_SQL, recursive=True).rstrip() + f""", keyed AS (SELECT strftime(dt, '%Y-%m') AS win, risk_score AS score FROM ledger),
 months AS (SELECT win, row_number() OVER (ORDER BY win) AS mno FROM (SELECT DISTINCT win FROM keyed)),
 rows_ AS (SELECT win, score, mno <= 4 AS is_ref FROM keyed JOIN months USING (win)), {KS},
 info AS (SELECT win, count(*) AS n, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM rows_ GROUP BY ALL),
 p AS (SELECT *, CAST(round(n * d) AS BIGINT) AS k, (SELECT count(*) FROM rows_ WHERE is_ref) AS m FROM ks JOIN info USING (win)),
-q AS (SELECT *, greatest(0.0E0, least(1.0E0, CASE WHEN k = 0 THEN 1.0E0 ELSE {SERIES} END)) AS pv FROM p)
+{PATHS},
+q AS (SELECT *, tail AS pv FROM p JOIN tails USING (win))
 SELECT win AS month_key, n AS n_samples, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, round(d, 6) AS ks_statistic, round(pv, 6) AS p_value, pv < 0.01 AS drift_fired FROM q""")
 def k2(spark, sf):
     return DR.monthly_drift(T.scored_ledger(spark, sf).select("dt", F.col("risk_score").alias("score")))
