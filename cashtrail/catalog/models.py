@@ -256,7 +256,7 @@ def j19(spark, sf):
     return got.withColumn("attribution_deltas", F.size("attribution_deltas"))
 
 
-@query("J19_rejected", with_(CARDS_SQL) + """SELECT CAST(round("Time" * 1000000) AS BIGINT) AS id, 'V99' AS feature, '1' AS value, 'Unknown feature name ''V99''' AS reason FROM cards""")
+@query("J19_rejected", with_(CARDS_SQL) + """SELECT CAST(round("Time" * 1000000) AS BIGINT) AS id, 'V99' AS feature, '1' AS value, 'the model has no feature V99' AS reason FROM cards""")
 def j19_rejected(spark, sf):
     return E.split_overrides(_overrides(cards(spark, sf)), CARD_FEATURES)[1]
 

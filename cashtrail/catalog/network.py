@@ -158,16 +158,16 @@ def e6(spark, sf):
     return out(N.network_walk(e, seed, depth=3).select(WALK_COLS))
 
 
-@query("E8", with_(EDGES_SQL, _walk_sql(2, "SELECT DISTINCT from_account AS walk_id FROM edges")) + """, a AS (SELECT walk_id, count(*) AS hop_count,
+@query("E8", with_(EDGES_SQL, _walk_sql(2, "SELECT from_account AS walk_id FROM edges UNION SELECT to_account FROM edges")) + """, a AS (SELECT f0.walk_id, count(step_index) AS hop_count,
   arg_min(from_account, step_index) AS start_account, arg_max(to_account, step_index) AS end_account,
-  arg_max(amount, step_index) / arg_min(amount, step_index) AS ratio FROM walk GROUP BY ALL)
+  arg_max(amount, step_index) / arg_min(amount, step_index) AS ratio FROM f0 LEFT JOIN walk USING (walk_id) GROUP BY ALL)
 SELECT walk_id, hop_count, start_account, end_account, round(ratio, 6) AS retention_ratio,
- CASE WHEN start_account = end_account AND ratio >= 0.85 THEN 0.94E0 WHEN hop_count >= 3 THEN 0.88E0 ELSE 0.60E0 END AS risk_score,
+ CASE WHEN hop_count = 0 THEN 0.50E0 WHEN start_account = end_account AND ratio >= 0.85 THEN 0.94E0 WHEN hop_count >= 3 THEN 0.88E0 ELSE 0.60E0 END AS risk_score,
  CASE WHEN start_account = end_account AND ratio >= 0.85 THEN 'round_tripping' WHEN hop_count >= 3 THEN 'rapid_layering' ELSE 'none' END AS typology FROM a""")
 def e8(spark, sf):
     e = T.edges(spark, sf)
-    seeds = e.select(F.col("from_account").alias("walk_id"), F.col("from_account").alias("account")).distinct()
-    return N.network_walk_risk(N.network_walk(e, seeds, depth=2))
+    accounts = e.select(F.col("from_account").alias("account")).union(e.select("to_account")).distinct()
+    return N.network_walk_risk(N.walk_summary(e, accounts.withColumn("walk_id", F.col("account")), depth=2)).drop("net")
 
 
 # each block of 100 users is one labelled case; half of the cases are labelled by a fixed rule

@@ -301,47 +301,85 @@ def flag_documents(flags: DataFrame, members: DataFrame, part_rows: int = 10_000
 
 
 # -- walks -------------------------------------------------------------------------------
+def _seeds(seeds: DataFrame) -> DataFrame:
+    return seeds if "net" in seeds.columns else seeds.withColumn("net", F.lit("all"))
+
+
+WALK = ["net", "walk_id"]
+
+
+def _next_level(walks: DataFrame, hops: DataFrame, visited: DataFrame) -> DataFrame:
+    """net, walk_id, from_account, rank: accounts first met on this level, in the order of their first mention."""
+    met = (walks.join(hops, ["net", "from_account"]).groupBy(*WALK, "to_account").agg(F.min(F.struct("rank", "us", "id")).alias("first"))
+           .join(visited, [*WALK, "to_account"], "left_anti")
+           .select(*WALK, "to_account", F.col("first.rank").alias("r"), F.col("first.us").alias("us"), F.col("first.id").alias("id")))
+    ranked = Ordered(met, WALK, ["r", "us", "id"]).numbered("rank").plain()
+    return written(ranked.select(*WALK, F.col("to_account").alias("from_account"), "rank"), "frontier")
+
+
 def network_walk(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """Breadth-first walk from every seed (walk_id, account): one row per edge seen, in order.
+    """Breadth-first walk from every seed (net, walk_id, account): one row per edge seen, in order.
 
-    Each level is a join of the newly met accounts with the edges; an account is entered once per
-    walk, at its first mention.
+    Each level is a join of the newly met accounts with the edges of their network; an account is entered once per
+    walk, at its first mention. Seeds without ``net`` walk the one network there is.
     """
     if not 1 <= depth <= 5:
         raise ValueError("depth must be 1..5")
-    e = _scope(edges).select("id", "from_account", "to_account", "amount", "dt", "us")
-    frontier = seeds.select("walk_id", F.col("account").alias("from_account"), F.lit(1).cast("long").alias("rank"))
-    visited = frontier.select("walk_id", F.col("from_account").alias("to_account"))
+    e = _scope(edges).select("net", "id", "from_account", "to_account", "amount", "dt", "us")
+    frontier = _seeds(seeds).select(*WALK, F.col("account").alias("from_account"), F.lit(1).cast("long").alias("rank"))
+    visited = frontier.select(*WALK, F.col("from_account").alias("to_account"))
     steps = None
     for level in range(depth):
-        got = written(frontier.join(e, "from_account").withColumn("depth", F.lit(level)), "walk")
+        got = written(frontier.join(e, ["net", "from_account"]).withColumn("depth", F.lit(level)), "walk")
         steps = got if steps is None else steps.unionByName(got)
         if level + 1 == depth:
             break
-        met = (got.groupBy("walk_id", "to_account").agg(F.min(F.struct("rank", "us", "id")).alias("first"))
-               .join(visited, ["walk_id", "to_account"], "left_anti")
-               .select("walk_id", "to_account", F.col("first.rank").alias("r"), F.col("first.us").alias("us"), F.col("first.id").alias("id")))
-        ranked = Ordered(met, ["walk_id"], ["r", "us", "id"]).numbered("rank").plain()
-        ranked = written(ranked.select("walk_id", "to_account", "rank"), "frontier")
-        visited = visited.unionByName(ranked.select("walk_id", "to_account"))
-        frontier = ranked.select("walk_id", F.col("to_account").alias("from_account"), "rank")
-    rows = Ordered(steps, ["walk_id"], ["depth", "rank", "us", "id"]).numbered("step_index").plain()
-    return rows.select("walk_id", "step_index", "depth", "from_account", "to_account", "amount", "dt", "id",
+        frontier = _next_level(frontier, e, visited)
+        visited = visited.unionByName(frontier.select(*WALK, F.col("from_account").alias("to_account")))
+    rows = Ordered(steps, WALK, ["depth", "rank", "us", "id"]).numbered("step_index").plain()
+    return rows.select(*WALK, "step_index", "depth", "from_account", "to_account", "amount", "dt", "id",
                        F.format_string("TOOL-CALL-SYN-%03d", "step_index").alias("tool_call_id"))
 
 
-def network_walk_risk(steps: DataFrame) -> DataFrame:
-    """Cycle / layering / plain score per walk, from its first and last step."""
-    a = steps.groupBy("walk_id").agg(
-        F.count(F.lit(1)).alias("hop_count"), F.min_by(F.struct("from_account", "amount"), "step_index").alias("f"),
-        F.max_by(F.struct("to_account", "amount"), "step_index").alias("l"))
-    ratio = F.when(F.col("f.amount") > 0, F.col("l.amount") / F.col("f.amount")).otherwise(0.0)
-    cycle = (F.col("f.from_account") == F.col("l.to_account")) & (ratio >= 0.85)
-    return a.select(
-        "walk_id", "hop_count", F.col("f.from_account").alias("start_account"), F.col("l.to_account").alias("end_account"),
+def walk_summary(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """Per walk: hop_count, first and last step (account, amount), without its steps; a walk without steps has a row of none.
+
+    A walk is a row of accounts, and an account always adds all its outgoing edges in their own order. So per account the number of
+    edges, the first and the last one are enough; they are added up over the accounts of each level. Accounts met are found over one edge per pair
+    of accounts, and the last level, the largest by far, is never walked.
+    """
+    if not 1 <= depth <= 5:
+        raise ValueError("depth must be 1..5")
+    e = _scope(edges)
+    at = F.struct("us", "id")
+    out = written(e.groupBy("net", "from_account").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("from_account", "amount"), at).alias("head"), F.max_by(F.struct("to_account", "amount"), at).alias("tail")), "out")
+    hops = e.groupBy("net", "from_account", "to_account").agg(F.min(at).alias("first")).select("net", "from_account", "to_account", "first.us", "first.id")
+    hops = written(hops, "hops") if depth > 1 else hops
+    walks = _seeds(seeds).select(*WALK, F.col("account").alias("from_account"), F.lit(1).cast("long").alias("rank"))
+    frontier, visited, levels = walks, walks.select(*WALK, F.col("from_account").alias("to_account")), None
+    for level in range(depth):
+        got = (frontier.join(out, ["net", "from_account"]).groupBy(*WALK)
+               .agg(F.sum("n").alias("n"), F.min_by("head", "rank").alias("head"), F.max_by("tail", "rank").alias("tail")).withColumn("level", F.lit(level)))
+        levels = got if levels is None else levels.unionByName(got)
+        if level + 1 < depth:
+            frontier = _next_level(frontier, hops, visited)
+            visited = visited.unionByName(frontier.select(*WALK, F.col("from_account").alias("to_account")))
+    whole = levels.groupBy(*WALK).agg(F.sum("n").alias("hop_count"), F.min_by("head", "level").alias("head"), F.max_by("tail", "level").alias("tail"))
+    return walks.select(*WALK).distinct().join(whole, WALK, "left").withColumn("hop_count", F.coalesce("hop_count", F.lit(0)))
+
+
+def network_walk_risk(summary: DataFrame) -> DataFrame:
+    """Cycle / layering / plain score per walk, from its first and last step; 0.50 for a walk without steps."""
+    first, last = F.col("head.amount"), F.col("tail.amount")
+    ratio = F.when(F.col("hop_count") > 0, F.when(first > 0, last / first).otherwise(0.0))
+    cycle = (F.col("head.from_account") == F.col("tail.to_account")) & (ratio >= 0.85)
+    none = F.col("hop_count") == 0
+    return summary.select(
+        *WALK, "hop_count", F.col("head.from_account").alias("start_account"), F.col("tail.to_account").alias("end_account"),
         F.round(ratio, 6).alias("retention_ratio"),
-        F.when(cycle, 0.94).when(F.col("hop_count") >= 3, 0.88).otherwise(0.60).alias("risk_score"),
-        F.when(cycle, "round_tripping").when(F.col("hop_count") >= 3, "rapid_layering").otherwise("none").alias("typology"))
+        F.when(none, 0.50).when(cycle, 0.94).when(F.col("hop_count") >= 3, 0.88).otherwise(0.60).alias("risk_score"),
+        F.when(none, "none").when(cycle, "round_tripping").when(F.col("hop_count") >= 3, "rapid_layering").otherwise("none").alias("typology"))
 
 
 # -- labelled cases ----------------------------------------------------------------------
