@@ -38,6 +38,7 @@ def reversal_pairs(ledger: DataFrame, within_seconds: int = PAIR_SECONDS, chunk_
     rows = ledger.select("account_id", F.round("amount", 2).alias("amount"), F.unix_micros("dt").alias("us"), "id", "dt",
                          F.when(F.col("direction") == "debit", 1).otherwise(-1).cast("long").alias("sign"))
     both = rows.groupBy(*KEYS).agg(F.count_if(F.col("sign") > 0).alias("d"), F.count(F.lit(1)).alias("n")).filter("d > 0 AND d < n")
+    both = written(both, "two-sided")
     size = both.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(size.largest or 0), int(size.total or 0)
     rows = rows.join(both.select(*KEYS, (F.col("n") > chunk_rows).alias("long")), KEYS)         # a group of one direction pairs nothing
