@@ -38,40 +38,92 @@ def sub_threshold_edges(edges: DataFrame, threshold: float = 10_000.0, lower: fl
     return edges.filter((F.col("amount") >= lower) & (F.col("amount") < threshold))
 
 
+CHUNK_ROWS = 256        # rows of a collector that are folded as one array
+
+
+def _first_senders(k: int, near: str, far: str) -> str:
+    """The first ``k`` distinct senders of two stretches of rows in order, each given by its own first ones."""
+    return f"slice(concat({near}, filter({far}, v -> NOT exists({near}, u -> u.a <=> v.a))), 1, {k})"
+
+
+def _senders_behind(steps: DataFrame, k: int, chunk_rows: int, most: int) -> DataFrame:
+    """COLLECTOR, chunk, after: the first ``k`` senders behind each chunk, for steps (COLLECTOR, chunk, s: those within it).
+
+    Chunks are chunked and folded again, level by level, until every collector has one; ``most``: chunks of the longest.
+    """
+    over = steps.select(*COLLECTOR, F.floor(F.col("chunk") / chunk_rows).alias("up"), F.struct("chunk", "s").alias("step")).groupBy(*COLLECTOR, "up").agg(
+        F.reverse(F.array_sort(F.collect_list("step"))).alias("h"))
+    both = _first_senders(k, "e.s", "a.s")
+    if most > chunk_rows:
+        over = written(over, "level")
+        above = over.select(*COLLECTOR, F.col("up").alias("chunk"), F.expr(f"aggregate(h, named_struct('s', slice(h[0].s, 1, 0)), (a, e) -> named_struct('s', {both}))").alias("x"))
+        above = _senders_behind(above.select(*COLLECTOR, "chunk", "x.s"), k, chunk_rows, -(-most // chunk_rows))
+        over = over.join(above.withColumnRenamed("chunk", "up"), [*COLLECTOR, "up"])
+    else:
+        over = over.withColumn("after", F.expr("slice(h[0].s, 1, 0)"))
+    scan = f"""aggregate(h, named_struct('s', after, 'c', transform(slice(h, 1, 0), e -> named_struct('chunk', e.chunk, 'after', e.s))),
+      (a, e) -> named_struct('s', {both}, 'c', array_append(a.c, named_struct('chunk', e.chunk, 'after', a.s))), a -> a.c)"""
+    return over.select(*COLLECTOR, F.inline(F.expr(scan)))
+
+
 def fan_in_structuring(edges: DataFrame, threshold: float = 10_000.0, lower: float = 7_500.0,
                        window_hours: float = 24, factor: float = 1.8, min_senders: int = 3,
-                       min_edges: int = 3) -> DataFrame:
+                       min_edges: int = 3, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One flag per collector: its first window with enough senders and volume.
 
-    A row's window reaches ``window_hours`` ahead of it. Whether it holds ``min_senders`` different
-    senders is read off two look-aheads instead of a set per row: the next run of another sender
-    brings the second one; after that senders alternate between two names until a run differs from
-    the run two before it, and that run brings the third.
+    A row's window reaches ``window_hours`` ahead of it. It holds ``min_senders`` different senders if the last one of the next
+    ``min_senders`` distinct ones pays in time. These lists are as long as ``min_senders`` and compose, so they are read backwards over chunks of
+    ``chunk_rows`` rows, and a chunk gets the list behind it from the chunks after it: no window keeps a set of its senders.
     """
-    if min_senders not in (1, 2, 3):
-        raise ValueError("min_senders must be 1, 2 or 3")
-    span = int(window_hours * HOUR_US)
+    if min_senders < 1:
+        raise ValueError("min_senders must be 1 or more")
+    span, k = int(window_hours * HOUR_US), int(min_senders)
     band = sub_threshold_edges(_scope(edges), threshold, lower)
-    rows = Ordered(band, COLLECTOR, ORDER).previous(before="from_account")
-    rows = rows.with_columns(opens=F.col("before").isNull() | (F.col("from_account") != F.col("before")))
-    rows = rows.with_columns(run=F.when(F.col("opens"), F.struct("from_account", "us")))
-    rows = rows.next_known(second="run")
-    rows = rows.with_columns(third_mark=F.when(
-        F.col("opens") & F.col("before").isNotNull() & (F.col("second.from_account") != F.col("before")),
-        F.col("second.us")))
-    rows = rows.next_known(third="third_mark")
-    rows = rows.leading("us", span, volume=F.col("amount").cast("decimal(28,6)"), n_edges=F.lit(1).cast("long"))
-    complete = {1: F.col("us"), 2: F.col("second.us"), 3: F.col("third")}[min_senders]
-    hit = ((complete <= F.col("us") + span) & (F.col("n_edges") >= min_edges)
-           & (F.col("volume") >= F.lit(threshold * factor)))
-    first = (rows.plain().filter(hit).groupBy(*COLLECTOR)
-             .agg(F.min(F.struct("us", "id", "dt", "volume", "n_edges")).alias("f")))
+    rows = Ordered(band, COLLECTOR, ORDER)
+    most = -(-max(1, rows.sizes[0]) // chunk_rows)
+    seq = rows.numbered("rn").leading("us", span, volume=F.col("amount").cast("decimal(28,6)"), n_edges=F.lit(1).cast("long")).plain()
+    row = F.struct("us", "id", "dt", "volume", "n_edges", F.array(F.struct(F.col("from_account").alias("a"), F.col("us").alias("us"))).alias("s"))
+    chunks = seq.select(*COLLECTOR, F.floor((F.col("rn") - 1) / chunk_rows).alias("chunk"), row.alias("row")).groupBy(*COLLECTOR, "chunk").agg(
+        F.reverse(F.array_sort(F.collect_list("row"))).alias("h"))
+    both = _first_senders(k, "e.s", "a.s")
+    if most > 1:
+        chunks = written(chunks, "chunks")
+        steps = chunks.select(*COLLECTOR, "chunk", F.expr(f"aggregate(h, named_struct('s', slice(h[0].s, 1, 0)), (a, e) -> named_struct('s', {both}))").alias("x"))
+        chunks = chunks.join(_senders_behind(steps.select(*COLLECTOR, "chunk", "x.s"), k, chunk_rows, most), [*COLLECTOR, "chunk"])
+    else:
+        chunks = chunks.withColumn("after", F.expr("slice(h[0].s, 1, 0)"))
+    hit = f"get({both}, {k - 1}).us <= e.us + {span} AND e.n_edges >= {min_edges} AND e.volume >= {threshold * factor!r}"
+    found = f"""aggregate(h, named_struct('s', after, 'f', CAST(NULL AS STRUCT<us: BIGINT, id: {band.schema['id'].dataType.simpleString()}, dt: TIMESTAMP, volume: DECIMAL(38,6), n_edges: BIGINT>)),
+      (a, e) -> named_struct('s', {both}, 'f', CASE WHEN {hit} THEN struct(e.us AS us, e.id AS id, e.dt AS dt, CAST(e.volume AS DECIMAL(38,6)) AS volume, e.n_edges AS n_edges) ELSE a.f END), a -> a.f)"""
+    first = chunks.select(*COLLECTOR, F.expr(found).alias("f")).filter("f IS NOT NULL").groupBy(*COLLECTOR).agg(F.min("f").alias("f"))
     return first.select(
         "net", F.col("to_account").alias("collector"), F.col("f.us").alias("start_us"), F.col("f.id").alias("start_id"),
         F.col("f.dt").alias("window_start"), (F.col("f.us") + span).alias("end_us"),
         F.col("f.n_edges").alias("n_edges"), F.col("f.volume").cast("double").alias("total_amount"))
 
 
+def suppress_involved(flags: DataFrame, members: DataFrame) -> DataFrame:
+    """The flags a pass in order of (start_us, start_id, collector) keeps: one whose collector is a sender of a kept flag before it goes.
+
+    ``members``: rows of :func:`fan_in_members`. The pass runs in rounds: a flag is kept once no earlier one that names its collector is open, and goes once
+    one of them is kept. A round decides at least the first open flag of every chain, and each is a join of the open flags with the namings.
+    """
+    order = F.struct("start_us", "start_id", "collector")
+    ranked = flags.select("net", "collector", order.alias("at"))
+    naming = (members.select("net", F.col("collector").alias("by"), F.col("from_account").alias("collector")).filter("by <> collector").distinct()
+              .join(ranked, ["net", "collector"]).join(ranked.select("net", F.col("collector").alias("by"), F.col("at").alias("by_at")), ["net", "by"])
+              .filter(F.col("by_at") < F.col("at")).select("net", "collector", "by"))
+    naming = written(naming, "naming")
+    state = written(ranked.select("net", "collector", F.lit("open").alias("state")), "state")
+    while state.filter("state = 'open'").limit(1).count():
+        seen = naming.join(state.select("net", F.col("collector").alias("by"), F.col("state").alias("by_state")), ["net", "by"])
+        seen = seen.groupBy("net", "collector").agg(F.max(F.col("by_state") == "kept").alias("named"), F.max(F.col("by_state") == "open").alias("waits"))
+        now = (F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("named", F.lit(False)), "gone")
+               .when(F.coalesce("waits", F.lit(False)), "open").otherwise("kept"))
+        state = written(state.join(seen, ["net", "collector"], "left").select("net", "collector", now.alias("state")), "state")
+    return flags.join(state.filter("state = 'kept'").select("net", "collector"), ["net", "collector"], "left_semi")
+
+
 def fan_in_members(edges: DataFrame, flags: DataFrame, threshold: float = 10_000.0,
                    lower: float = 7_500.0) -> DataFrame:
     """Every edge of every flagged window, one row each."""
@@ -255,11 +307,16 @@ def _tail(c):
 def typology_flags(edges: DataFrame, fan_in: dict | None = None, trips: dict | None = None,
                    layering: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(flags, members). Members hold the involved accounts and evidence edges, one row each, so a
-    fan-in window of any size stays whole without one huge array."""
-    fan_in = fan_in or {}
+    fan-in window of any size stays whole without one huge array. ``fan_in`` may hold ``suppress=True``: a collector that already
+    stands in an earlier fan-in flag gets none (off by default)."""
+    fan_in = dict(fan_in or {})
+    suppress = fan_in.pop("suppress", False)
     band = {k: fan_in[k] for k in ("threshold", "lower") if k in fan_in}
     f = written(fan_in_structuring(edges, **fan_in), "fan-in")
     m = fan_in_members(edges, f, **band)
+    if suppress:
+        f = written(suppress_involved(f, m), "fan-in")
+        m = m.join(f.select("net", "collector"), ["net", "collector"], "left_semi")
     tag = lambda kind: [F.lit(kind).alias("typology"), F.lit(TYPOLOGY[kind][0]).alias("fatf_reference"),
                         F.lit(TYPOLOGY[kind][1]).alias("confidence")]
     key = F.concat(F.lit("structuring:"), F.col("collector").cast("string"))
