@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import Ordered, exact_percentiles
+from ..plans.pages import numbered_slice
 
 
 def chronological_split(rows: DataFrame, order: list[str], test_frac: float = 0.2) -> DataFrame:
@@ -89,8 +90,7 @@ def averaged_f1(scored: DataFrame, threshold: float, score: str = "score", label
 
 def top_k(scored: DataFrame, k: int, tie: str = "id", score: str = "score") -> DataFrame:
     """Rank by falling score; rows up to rank k."""
-    seq = Ordered(scored.withColumn("_down", -F.col(score)), [], ["_down", tie]).numbered("rank").plain()
-    return seq.filter(F.col("rank") <= k).drop("_down")
+    return numbered_slice(scored.withColumn("_down", -F.col(score)), ["_down", tie], 0, k, "rank")[0].drop("_down")
 
 
 def at_alert_budget(scored: DataFrame, share: float = 0.01, tie: str = "id", score: str = "score", label: str = "label") -> DataFrame:
