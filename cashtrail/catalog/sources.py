@@ -8,7 +8,7 @@ from ..operators import drift as DR
 from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import typology as N
-from ..plans.storage import new_path
+from ..plans.storage import new_path, written
 from ..sources import cards as CS
 from ..sources import ledger as S
 from ..sources import network as NW
@@ -61,13 +61,15 @@ PARSED_SQL = with_(LEDGER_SQL) + """SELECT 'TX-LEDGER-' || printf('%06d', row_nu
  coalesce(raw_narration, '') AS raw_narration, CASE WHEN raw_narration IS NULL THEN 'GENERAL_TRANSFER' ELSE payment_rail END AS payment_rail, counterparty, id AS chq_no FROM ledger"""
 
 
-@query("A4", PARSED_SQL)
+@query("A4", PARSED_SQL.replace("SELECT 'TX-LEDGER-'", "SELECT scan, 'TX-LEDGER-'").replace("FROM ledger", "FROM ledger, (SELECT unnest(['miss', 'hit', 'forced']) AS scan)")
+       .replace("OVER (ORDER BY", "OVER (PARTITION BY scan ORDER BY"))
 def a4(spark, sf):
-    raw = S.read_raw(spark, csv(T.raw_ledger(spark, sf), "ledger"))
-    rows = S.with_sequential_ids(S.normalise(raw, tie=F.regexp_replace("`CHQ.NO.`", r"\.0$", "")))
-    cache = new_path(spark, "ledger-cache")
-    rows.write.parquet(cache)
-    return out(S.scan_ledger(spark, "", cache=cache).select(PARSED))
+    """A scan that fills the cache, one that reads it (its source does not exist), and one that parses again."""
+    path, cache, tie = csv(T.raw_ledger(spark, sf), "ledger"), new_path(spark, "ledger-cache"), F.regexp_replace("`CHQ.NO.`", r"\.0$", "")
+    miss = written(S.scan_ledger(spark, path, cache, tie=tie).withColumn("scan", F.lit("miss")), "scan")
+    hit = written(S.scan_ledger(spark, path + "-gone", cache).withColumn("scan", F.lit("hit")), "scan")
+    forced = S.scan_ledger(spark, path, cache, force_reload=True, tie=tie).withColumn("scan", F.lit("forced"))
+    return out(miss.unionByName(hit).unionByName(forced).select("scan", *PARSED))
 
 
 @query("B7", with_(LEDGER_SQL) + "SELECT 'TX-LEDGER-' || printf('%06d', row_number() OVER (ORDER BY account_id, dt, id)) AS id, account_id, dt, amount FROM ledger")

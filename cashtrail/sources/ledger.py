@@ -60,11 +60,13 @@ def with_sequential_ids(rows: DataFrame, prefix: str = "TX-LEDGER-") -> DataFram
 
 
 def scan_ledger(spark: SparkSession, path: str, cache: str | None = None,
-                force_reload: bool = False, fmt: str = "csv") -> DataFrame:
-    """Parsed ledger, read from the Parquet ``cache`` when it exists."""
+                force_reload: bool = False, fmt: str = "csv", tie: Column | None = None) -> DataFrame:
+    """Parsed ledger. With a Parquet ``cache``: read from it when it exists (the source is not touched), else parsed and written to it;
+    ``force_reload`` parses and writes it anew. ``tie`` orders rows of one account and moment."""
     if cache and not force_reload and _exists(spark, cache):
         return spark.read.parquet(cache)
-    rows = with_sequential_ids(normalise(read_raw(spark, path, fmt)))
+    raw = read_raw(spark, path, fmt)
+    rows = with_sequential_ids(normalise(raw) if tie is None else normalise(raw, tie=tie))
     if not cache:
         return rows
     rows.write.mode("overwrite").parquet(cache)
