@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+SLICE_BYTES = 1 << 21       # text that a Python worker works on at once; a longer text is a slice of its own
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,3 +43,17 @@ def words(text: Column) -> Column:
 def row_ids(rows: DataFrame, name: str = "uid") -> DataFrame:
     """A row id, fixed once the result is written: repeated rows stay apart."""
     return rows.withColumn(name, F.monotonically_increasing_id())
+
+
+def by_slices(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """``work`` over slices of the Arrow batches, cut by the bytes of ``text``: neither a batch's results nor its arrays are held together."""
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                yield work(batch.slice(at, end - at))
+                at = end
+            pa.default_memory_pool().release_unused()
+    return rows.mapInArrow(sliced, schema)

@@ -23,17 +23,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import holdout, packed, text_of
+from .common import by_slices, holdout, packed, text_of
 
 SAMPLE = 4_000
 TOXIC_WORDS, PLAIN_WORDS = 2_000, 4_000
 LEAST_RATIO = 20.0                  # likelihood ratio (chi-square scale) of a word in the toxic dictionary
 LEVEL = 19
 MOST_HITS = 8
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -176,26 +177,25 @@ def calibrate(toxic: tuple[str, ...], plain: tuple[str, ...], labels: np.ndarray
     return Model(toxic, plain, short, margin, tuple(float(s) for s in shares))
 
 
-def hits(text: Column, model: Model) -> Column:
-    @F.arrow_udf("int")
-    def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([model.hits(t) for t in texts.to_pylist()], pa.int32())
-    return counted(text)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``row`` (the whole input row) and ``score``."""
+    rows = packed(docs).select("row", text_of().alias("text"))
+    shares = np.array(model.shares)
 
-
-def score(text: Column, model: Model) -> Column:
-    shares = F.array(*[F.lit(s) for s in model.shares])
-    return F.get(shares, F.least(hits(text, model), F.lit(len(model.shares) - 1)))
+    def score(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [model.hits(t.as_py()) for t in part.column("text")]
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(shares[np.minimum(np.array(found, np.int64), len(shares) - 1)])], ["row", "score"])
+    return by_slices(rows, score, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     doc_id = F.col("row.doc_id").cast("long")
-    rows = packed(docs).select(doc_id.alias("doc_id"), (holdout(doc_id) == 0).alias("held_out"), score(text_of(), model).alias("score"))
+    rows = scored(docs.select("doc_id", "text"), model).select(doc_id.alias("doc_id"), (holdout(doc_id) == 0).alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not found toxic, columns as they came."""
     model = fit(docs, labels)
-    return packed(docs).withColumn("s", score(text_of(), model)).filter("s < 0.5").select("row.*")
+    return scored(docs, model).filter("score < 0.5").select("row.*")
