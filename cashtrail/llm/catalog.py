@@ -85,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_resampling": target_resampling,
     "op13_periodic_runs": periodic_runs,
 }
-SQL: dict[str, str] = {"op3_chat_format": templates.SQL, "op4_source_mix": mixing.SQL, "op10_ngram_join": ngram_join.SQL}
+SQL: dict[str, str] = {"op3_chat_format": templates.SQL, "op4_source_mix": mixing.SQL, "op10_ngram_join": ngram_join.SQL,
+                       "op12_resampling": resampling.SQL}

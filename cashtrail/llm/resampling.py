@@ -153,3 +153,25 @@ def report(docs: DataFrame, target: DataFrame) -> DataFrame:
     """One row per document: features, weight, score, rank."""
     got = draw(weighted(docs, target, keep=["doc_id"]))
     return got.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RUNS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+# the checksum byte by byte, from a table made by its rule; each distinct feature once
+SQL = f"""WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+ FROM (SELECT unnest(range(0, 256)) AS i))),
+d AS (SELECT rid, doc_id, len(w) AS n_words, {_RUNS} AS f FROM (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT {_RUNS} AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+df AS (SELECT rid, unnest(f) AS f FROM d), bf AS (SELECT unnest(f) AS f FROM b),
+k AS (SELECT f, xor(list_reduce(list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % {BUCKETS} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), t),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN k USING (f) GROUP BY bucket), o AS (SELECT bucket, count(*) AS t FROM bf JOIN k USING (f) GROUP BY bucket),
+c AS (SELECT bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM (SELECT unnest(range(0, {BUCKETS})) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN o USING (bucket)),
+a AS (SELECT CAST(sum(s) AS DOUBLE) AS all_s, CAST(sum(t) AS DOUBLE) AS all_t FROM c),
+g AS (SELECT bucket, CAST(floor(1000.0E0 * ln(((CAST(t AS DOUBLE) + 1) * (all_s + {BUCKETS})) / ((CAST(s AS DOUBLE) + 1) * (all_t + {BUCKETS})))) AS BIGINT) AS gain FROM c, a),
+m AS (SELECT rid, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT rid, doc_id, n_words, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+ FROM d LEFT JOIN m USING (rid)),
+y AS (SELECT *, weight + CAST(floor(-1000.0E0 * ln(-ln((h + 0.5E0) / 4294967296.0E0))) AS BIGINT) AS score FROM x),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM y WHERE n_words >= {MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * {PERCENT} // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (rid)"""
