@@ -211,7 +211,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
     """Linear-interpolated percentiles per key (nulls ignored).
 
     Small keys use Spark's ``percentile``, whose state is a map of one key's values. Beyond the
-    row limit, equal values are counted first and ranks are read off running counts instead.
+    row limit, equal values are counted first and ranks are read off running counts instead; the two values are
+    weighed as ``percentile`` weighs them, so that both ways give the same bits.
     """
     df = df.filter(F.col(value).isNotNull())
     sizes = sizes or group_sizes(df, keys)
@@ -223,7 +224,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
         pos = (F.col("total") - 1) * F.lit(float(q))
         aggs += [F.min(F.when(F.col("cum") > F.floor(pos), F.col(value))).alias(f"_lo_{o}"),
                  F.min(F.when(F.col("cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{o}")]
-        out.append((F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * (pos - F.floor(pos))).alias(o))
+        lo, hi = F.col(f"_lo_{o}").cast("double"), F.col(f"_hi_{o}").cast("double")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi).alias(o))
     return ranked.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, *out)
 
 
