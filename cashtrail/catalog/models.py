@@ -61,7 +61,8 @@ def logistic_model(spark, sf):
 def money_models(spark, sf):
     def make():
         train = M.class_weights(M.step_split(money(spark, sf)).filter("split = 'train'"), "label")
-        train = written(train.select("id", "label", "weight", *MONEY_FEATURES), "train")
+        dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))          # the trees read the rows once a level: let every core have some
+        train = written(train.select("id", "label", "weight", *MONEY_FEATURES).repartition(dealt, "id"), "train")
         return tuple(ML.together([lambda: ML.boosted_trees(MONEY_FEATURES, "label", weight="weight").fit(train),
                                   lambda: ML.random_forest(MONEY_FEATURES, "label", weight="weight").fit(train)]))
     return _once(spark, sf, "money", make)
