@@ -158,8 +158,3 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     for name, value in changed.items():
         row = row.withField(f"`{name}`", value)
     return none.unionByName(some.select(row.alias("row"))).select("row.*")
-
-
-# Positions from the pieces between matches; ASCII-only case folding as in the scan.
-_RE = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
-       "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
