@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 21       # text that a Python worker works on at once; a longer text is a slice of its own
+BATCH_ROWS = 1_000          # texts that travel to a Python worker at once
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,7 +48,13 @@ def row_ids(rows: DataFrame, name: str = "uid") -> DataFrame:
 
 
 def by_slices(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
-    """``work`` over slices of the Arrow batches, cut by the bytes of ``text``: neither a batch's results nor its arrays are held together."""
+    """``work`` over slices of the Arrow batches, cut by the bytes of ``text``: neither a batch's results nor its arrays are held together.
+
+    Whole texts are long rows, so the session's batches are brought down to ``BATCH_ROWS`` if they are longer; results do not depend on it.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             upto = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
