@@ -34,7 +34,7 @@ TOXIC_WORDS, PLAIN_WORDS = 2_000, 4_000
 LEAST_RATIO = 20.0                  # likelihood ratio (chi-square scale) of a word in the toxic dictionary
 LEVEL = 19
 MOST_HITS = 8
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
